@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from foliospark.llm import markup
+from foliospark.llm import leaks, markup, residue, split, tokens
 from foliospark.sources.tables import table
 
 
+def p1_found(spark, d):
+    return residue.residue_pages(table(spark, d, "dump_pages"))
+
+
+def p2_found(spark, d):
+    return split.oversized(table(spark, d, "dump_pages"))
+
+
 def p3_found(spark, d):
     return markup.structural_units(table(spark, d, "dump_pages"))
 
@@ -14,5 +22,13 @@ def p3_clean(spark, d):
     return markup.clean_pages(table(spark, d, "dump_pages"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean}
+def p8_ids(spark, d):
+    return tokens.token_ids(table(spark, d, "documents"))
+
+
+def p9_found(spark, d):
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p8_ids": p8_ids, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
