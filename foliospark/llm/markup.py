@@ -188,7 +188,7 @@ def structural_units(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Data
     found = map_rows(pages.select("rev_id", "text").where(F.length("text") > 0), batch, "rev_id BIGINT, units STRING")
     once = found.where("units <> ''").groupBy("rev_id").agg(F.min("units").alias("units"))
     names = F.create_map(*(x for k in _KINDS for x in (F.lit(k[0]), F.lit(k))))
-    return once.select("rev_id", F.posexplode(F.split("units", "(?!^)")).alias("at", "u")).select(
+    return once.select("rev_id", F.posexplode(F.split("units", "(?<=.)(?=.)")).alias("at", "u")).select(
         "rev_id", (F.col("at") + 1).alias("unit_no"), names[F.col("u")].alias("kind")
     )
 

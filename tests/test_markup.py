@@ -1,0 +1,11 @@
+from foliospark.llm import markup
+
+
+def found(spark, *texts):
+    pages = spark.createDataFrame(list(enumerate(texts, 1)), "rev_id BIGINT, text STRING")
+    return sorted(tuple(r) for r in markup.structural_units(pages).collect())
+
+
+def test_units_are_numbered_without_an_empty_one_at_the_end(spark):
+    got = found(spark, "== A ==\n* b\n&lt;pre&gt;c&lt;/pre&gt;\n", "* only\n", "no unit", None, "")
+    assert got == [(1, 1, "heading"), (1, 2, "item"), (1, 3, "code"), (2, 1, "item")]
