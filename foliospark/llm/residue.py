@@ -187,15 +187,23 @@ def _sentences(pages: DataFrame) -> DataFrame:
 
 
 def templates(sentences: DataFrame) -> DataFrame:
-    """Alignment of all sentences of one template: n_sentences, n_pages and the slot positions where values differ.
+    """Alignment of all distinct sentences of one template: n_sentences, slots and constants.
 
-    Counts are pre-aggregated per (template, position, word), so a template
-    that fills a third of the corpus costs no more than its distinct values.
+    A slot is a position where values differ or where every sentence holds a
+    placeholder; a constant is any other position that at least two distinct
+    sentences agree on. Repeated rows, revisions and copies of one sentence
+    count once, so a template that fills a third of the corpus costs no more
+    than its distinct values.
     """
-    values = sentences.select("template", F.posexplode("words").alias("pos", "word")).groupBy("template", "pos", "word").agg(F.count("*").alias("n"))
-    slots = values.groupBy("template", "pos").agg(F.count("*").alias("values"), F.sum("n").alias("n"))
-    return slots.groupBy("template").agg(
-        F.max("n").alias("n_sentences"), F.array_sort(F.collect_list(F.when(F.col("values") > 1, F.col("pos")))).alias("slots")
+    once = sentences.select("template", "words", "held").dropDuplicates(["template", "words"])
+    values = once.select("template", "held", F.posexplode("words").alias("pos", "word")).groupBy("template", "pos", "word")
+    values = values.agg(F.count("*").alias("n"), F.count_if(F.expr("array_contains(held, pos)")).alias("n_held"))
+    at = values.groupBy("template", "pos").agg(F.count("*").alias("values"), F.sum("n").alias("n"), F.sum("n_held").alias("n_held"))
+    slot = F.expr("values > 1 OR n_held = n")
+    return at.groupBy("template").agg(
+        F.max("n").alias("n_sentences"),
+        F.array_sort(F.collect_list(F.when(slot, F.col("pos")))).alias("slots"),
+        F.array_sort(F.collect_list(F.when(~slot & (F.col("n") > 1), F.col("pos")))).alias("constants"),
     )
 
 
@@ -203,19 +211,13 @@ def residue_pages(pages: DataFrame) -> DataFrame:
     """rev_id of article revisions (ns = 0) with residue in place of their content or of a section or paragraph.
 
     `pages` needs rev_id, ns, text. Null and empty texts and null ns give no
-    row; a repeated revision gives one. Templates with fewer than three
-    sentences count every name and number as a filled slot. Other columns are
-    ignored.
+    row; a repeated revision gives one. A sentence with placeholders is
+    unfilled if each of its names and numbers is a constant of its template;
+    one without any is, however often it repeats. Other columns are ignored.
     """
     s = _sentences(pages)
-    slots = templates(s.where("kind = 'slot'"))
-    judged = s.join(slots, "template", "left").withColumn(
-        "ok",
-        F.expr(
-            "kind <> 'slot' OR (CASE WHEN n_sentences >= 3 THEN arrays_overlap(held, slots) AND NOT arrays_overlap(real, slots)"
-            " ELSE size(real) = 0 END)"
-        ),
-    )
+    aligned = templates(s.where("kind = 'slot'"))
+    judged = s.join(aligned, "template", "left").withColumn("ok", F.expr("kind <> 'slot' OR size(array_except(real, constants)) = 0"))
     lines = judged.groupBy("rev_id", "line").agg(F.bool_and("ok").alias("ok"))
     return lines.where("ok").select("rev_id").distinct()
 

@@ -1,0 +1,18 @@
+from foliospark.llm import residue
+
+
+def found(spark, *texts):
+    pages = spark.createDataFrame([(n, 0, t) for n, t in enumerate(texts, 1)], "rev_id BIGINT, ns INT, text STRING")
+    return sorted(r.rev_id for r in residue.residue_pages(pages).collect())
+
+
+def test_constant_placeholder_is_found_however_often_it_repeats(spark):
+    for n in (1, 2, 3, 5):
+        assert found(spark, *["Insert [TEXT] here."] * n) == list(range(1, n + 1))
+
+
+def test_name_counts_as_filled_unless_it_is_constant(spark):
+    filled = ["The town [TOWN] lies near Camiro.", "The town [TOWN] lies near Velda.", "The town [TOWN] lies near Orsk."]
+    assert found(spark, *filled) == []
+    assert found(spark, *filled[:1] * 3) == []
+    assert found(spark, "The page of [NAME] on Folio.", "The page of [TITLE] on Folio.") == [1, 2]
