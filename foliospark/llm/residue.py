@@ -12,6 +12,8 @@ are recognised by cue patterns and counted over the pages they repeat on.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from re import _constants as _re, _parser as _re_parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -27,7 +29,7 @@ PLACEHOLDER = re.compile(
 )
 
 _CORE = re.compile(
-    r"\b(?:error|status)[ :]*[1-5]\d\d\b|^[1-5]\d\d(?: [A-Z][a-z]+)+\W*$|\bnot found\b|\bdoes not exist\b|\b(?:session|token|link) (?:has )?expired\b"
+    r"\b(?:error|status)[ :]*[1-5]\d\d\b|\bnot found\b|\bdoes not exist\b|\b(?:session|token|link) (?:has )?expired\b"
     r"|^access denied\W*$|^forbidden\W*$|\btoo many requests\b|\bservice (?:is )?(?:temporarily )?unavailable\W*$|\bgateway time(?:d |-)?out\b|\btimed out\W*$"
     r"|\bconnection\b.*\b(?:refused|reset|failed)\b|\bsomething went wrong\b|\b(?:could|can)(?:not| not) (?:process|complete|load|handle|serve)\b"
     r"|\b(?:query|database|internal|server) error\b|\bdown for maintenance\b|\boffline for maintenance\b|\bunder maintenance\W*$"
@@ -39,6 +41,7 @@ _CORE = re.compile(
     r"|^(\w+) one, \1 two, \1 three\W*$|^just an? \w+\W*$|^here be \w+\W*$|\bcannot reach\b|\bbackend node\b|^oops\b|\bunexpected error\b|\bplease wait\W*$",
     re.I,
 )
+_STATUS = re.compile(r"^[1-5]\d\d(?: [A-Z][a-z]+)+\W*$", re.I)
 _TRAIL = re.compile(
     r"^(?:request id|reference #|ray [0-9a-f]+|served by|error id|incident)\b|^(?:return|go back) to\b|\btry again\b|^please\b|^contact the\b"
     r"|\bmay be broken\b|\bfunctions of this page\b|\btakes a few seconds\b|^loading\b|\bnothing happens\b|^another \w+ \d+\W*$|^\w+ again\W*$"
@@ -52,12 +55,50 @@ _NARRATIVE = re.compile(
 _LATIN = re.compile(r"(?:lor|dol|sit|elit|cons|magn|temp|ull|ven|nost|adip|aliq|ips|amet|eius|labor)[a-z]{0,6}", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[a-z][.!?…])(?=[A-Z])")
 _TAG = re.compile(r"(?<!<)</?(?:div|b|i|p|span|noscript|html|head|body|title|center|hr|br|strong|em|font|h[1-6]|small|section|article|main)\b[^<>]*>", re.I)
-_ANY_CUE = re.compile(
-    r"error|status|not found|not exist|expired|denied|forbidden|too many|unavailable|timed|gateway|refused|went wrong|could not|cannot|maintenance|locked|redirecting"
-    r"|script|cookie|browser|human|lorem|soon|follow|later|dummy|goes here|own words|section here|fill the space|place of this|yet\)|placeholder|sample|just a|here be| one, |oops|please wait"
-    r"|\{\{\{|\{\{ *\w+\.\w|\{%|\$\{|@@\w|%%\w|%[A-Za-z]\w*%|<<\w|__[A-Za-z]|\[(?:[A-Z]{3}|your|enter|insert|add)|\{\w+_\d|filled in|____|(?:ibus|ores|onsec|adip|aliq)",
-    re.I,
-)
+
+
+def _literals(parsed) -> set[str] | None:
+    """Literals of which every match of a parsed pattern holds at least one; None if there are none."""
+    options: list[set[str]] = []
+    run = ""
+    for op, av in [*parsed, (None, None)]:
+        if op is _re.LITERAL:
+            run += chr(av).lower()
+            continue
+        if op in (_re.AT, _re.ASSERT, _re.ASSERT_NOT):
+            continue
+        if run:
+            options.append({run})
+            run = ""
+        inner = None
+        if op is _re.SUBPATTERN:
+            inner = _literals(av[3])
+        elif op in (_re.MAX_REPEAT, _re.MIN_REPEAT) and av[0]:
+            inner = _literals(av[2])
+        elif op is _re.IN and all(kind is _re.LITERAL for kind, _ in av):
+            inner = {chr(x).lower() for _, x in av}
+        elif op is _re.BRANCH:
+            each = [_literals(x) for x in av[1]]
+            inner = None if None in each else set().union(*each)
+        if inner:
+            options.append(inner)
+    return max(options, key=lambda x: min(map(len, x)), default=None)
+
+
+def _cues(*patterns: re.Pattern) -> tuple[str, ...]:
+    found = [_literals(_re_parser.parse(p.pattern, p.flags & ~re.U)) for p in patterns]
+    assert None not in found, "a pattern has an alternative without a literal"
+    return tuple(sorted(set().union(*found), key=lambda x: (len(x), x)))
+
+
+#: A sentence without any of these matches none of the patterns; signs that ignored case takes for i and s are made plain before.
+CUES = _cues(PLACEHOLDER, _CORE, _STRONG, _TRAIL)
+_PLAIN = str.maketrans("\u0130\u0131\u017f", "iis")
+
+
+def may_match(s: str) -> bool:
+    low = (s if s.isascii() else s.translate(_PLAIN)).lower()
+    return s[:1].isdigit() or any(x in low for x in CUES)
 
 
 def _latin(words: list[str]) -> bool:
@@ -66,13 +107,15 @@ def _latin(words: list[str]) -> bool:
 
 def sentence_kind(s: str) -> str:
     """core, trail, slot (holds placeholders) or none."""
+    if not may_match(s):
+        return "core" if _latin(re.findall(r"[A-Za-z]+", s)) and not _NARRATIVE.search(s) else "none"
     if PLACEHOLDER.search(s) and re.search(r"[A-Za-z]{2}", s):
         return "slot"
     if _STRONG.search(s):
         return "core"
     if _NARRATIVE.search(s):
         return "none"
-    if _CORE.search(s) or _latin(re.findall(r"[A-Za-z]+", s)):
+    if _CORE.search(s) or _STATUS.search(s) or _latin(re.findall(r"[A-Za-z]+", s)):
         return "core"
     return "trail" if _TRAIL.search(s) else "none"
 
@@ -98,17 +141,24 @@ def content_lines(text: str) -> list[str]:
     return [x for line in text.split("\n") if (x := line.strip()) and x[0] not in "=*#|!;:"]
 
 
+def _sentences_of(line: str) -> Iterator[str]:
+    at = 0
+    for m in _SENTENCE.finditer(line):
+        yield line[at : m.start()]
+        at = m.end()
+    yield line[at:]
+
+
 def residue_lines(text: str | None) -> list[list[tuple[str, str]]]:
     """Per line that consists of residue sentences only: its (kind, sentence) list."""
-    if not text or not _ANY_CUE.search(text):
+    if not text:
         return []
     out = []
     for line in content_lines(text):
-        if len(line) > 2500 or not _ANY_CUE.search(line):
-            continue
-        line = _TAG.sub(" ", line).strip()
+        if "<" in line:
+            line = _TAG.sub(" ", line).strip()
         kinds = []
-        for s in _SENTENCE.split(line):
+        for s in _sentences_of(line):
             s = s.strip()
             if not re.search(r"\w", s):
                 continue
@@ -147,7 +197,7 @@ def _skeleton(words: list[str], held: list[int], real: list[int]) -> str:
 
 def wholly_residue(text: str | None) -> bool:
     """True if unescaped text has content lines and all of them are residue (no corpus needed)."""
-    if not text or not _ANY_CUE.search(text):
+    if not text:
         return False
     lines = [x for x in content_lines(text) if re.search(r"\w", _TAG.sub("", x))]
     return bool(lines) and sum(map(_unfilled, residue_lines(text))) >= sum(1 for x in lines if not _trail_only(x))
