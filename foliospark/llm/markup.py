@@ -21,9 +21,6 @@ from pyspark.sql import DataFrame, functions as F
 from foliospark.functions.arrow import map_rows
 from foliospark.wikitext.lexer import calls, headings, masked, opaque_spans, unescape_once
 
-#: Pages read to infer the wrappers; the wrappers are applied to all pages.
-SAMPLE_PAGES = 2000
-
 # ---------------------------------------------------------------- wrappers
 
 
@@ -54,20 +51,29 @@ def align(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(out)
 
 
-def induce(streams: list[str]) -> tuple[str, ...]:
-    """The wrapper of a host: its streams aligned one by one, commonest first."""
-    counts: dict[tuple[str, ...], int] = {}
-    for s in streams:
-        counts[fold(s)] = counts.get(fold(s), 0) + 1
-    order = sorted(counts, key=lambda s: (-counts[s], s))
+def induce(counts: dict[tuple[str, ...], int]) -> tuple[str, ...]:
+    """The wrapper of a host: all its folded streams aligned one by one, commonest first."""
     wrapper: tuple[str, ...] = ()
-    floor = max(1, sum(counts.values()) // 100)
-    for s in order[:50]:
-        if counts[s] >= floor:
-            wrapper = align(wrapper, s) if wrapper else s
+    for s in sorted(counts, key=lambda s: (-counts[s], s)):
+        wrapper = align(wrapper, s) if wrapper else s
     return wrapper
 
 
+def accepts(wrapper: tuple[str, ...], stream: str) -> bool:
+    """Whether a wrapper covers a stream whole; time grows as their product, however many groups are optional."""
+    at = {0}
+    for node in wrapper:
+        core, after = _core(node), set(at) if node.endswith("?") else set()
+        for p in at:
+            while p < len(stream) and stream[p] == core:
+                p += 1
+                after.add(p)
+                if "+" not in node:
+                    break
+        at = after
+    return len(stream) in at
+
+
 _FOREIGN = re.compile(r"\]\(\w+:|\*\*[^\s*][^*\n]*\*\*|(?<!\w)_[^\s_][^_\n]*_(?!\w)|^(?:```|~~~|> |[-+] \S|\d{1,3}[.)] )", re.M)
 _NATIVE = re.compile(r"\[\[|'''|\{\{|<ref\b")
 _HASH = re.compile(r"^\x01*#+(?!redirect\b)", re.M | re.I)
@@ -92,23 +98,33 @@ def _regions(mask: str, heads: list[tuple[int, int, int]]) -> list[tuple[int, in
     return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
-def infer_wrappers(texts: list[str | None]) -> dict[str, tuple[str, ...]]:
-    """One wrapper per host dialect, from unescaped page texts. Dialects without a sample keep their usual form."""
-    streams: dict[str, list[str]] = {"wiki": [], "markdown": []}
-    for text in texts:
-        if not text or "#" not in text:
-            continue
-        mask = masked(text, opaque_spans(text))
-        for a, b in _regions(mask, headings(mask)):
-            region = mask[a:b]
-            if _HASH.search(region) and (host := dialect(region)) in streams:
-                streams[host] += [s for _, block in _blocks(region) if "h" in (s := _stream(block))]
-    usual = {"wiki": ("(h)+",), "markdown": ("h",)}
-    return {host: induce(s) if s else usual[host] for host, s in streams.items()}
+def shapes(text: str | None) -> set[tuple[str, str]]:
+    """(host dialect, block stream with runs cut to two) of the blocks with '#' lines in unescaped text."""
+    out: set[tuple[str, str]] = set()
+    if not text or not _HASH.search(text):
+        return out
+    mask = masked(text, opaque_spans(text))
+    for a, b in _regions(mask, headings(mask)):
+        region = mask[a:b]
+        if _HASH.search(region) and (host := dialect(region)) != "unknown":
+            out.update((host, re.sub(r"(.)\1+", r"\1\1", s)) for _, block in _blocks(region) if "h" in (s := _stream(block)))
+    return out
 
 
-def _reader(wrapper: tuple[str, ...]) -> re.Pattern:
-    return re.compile("".join(wrapper))
+class Wrappers:
+    """The wrapper of each host dialect and how often its pages show each shape. Dialects without a page keep their usual form."""
+
+    def __init__(self, counts: dict[str, dict[tuple[str, ...], int]]):
+        usual = {"wiki": {("(h)+",): 1}, "markdown": {("h",): 1}}
+        self.counts = {host: counts.get(host) or usual[host] for host in usual}
+        self.wrapper = {host: induce(c) for host, c in self.counts.items()}
+        self.total = {host: sum(c.values()) for host, c in self.counts.items()}
+
+    def host(self, stream: str) -> str | None:
+        """The host whose wrapper covers a stream; of two, the one that shows its shape more often, for its size."""
+        fits = [h for h in ("markdown", "wiki") if accepts(self.wrapper[h], stream)]
+        shape = fold(stream)
+        return max(fits, key=lambda h: self.counts[h].get(shape, 0) / self.total[h], default=None)
 
 
 # ---------------------------------------------------------------- units
@@ -124,7 +140,7 @@ _TAG_HEADING = re.compile(r"<h[1-6]\b[^>]*>|\\(?:part|chapter|section|subsection
 _SETEXT = re.compile(r"(?:\A|\n[ \t]*\n|\A\n)[ ]{0,3}(?=[^\s\-=|#>*])([^\n]+)\n[ ]{0,3}(?:={2,}|-{2,})[ \t]*(?=\n|\Z)")
 
 
-def units(text: str, readers: dict[str, re.Pattern]) -> list[tuple[int, str]]:
+def units(text: str, wrappers: Wrappers) -> list[tuple[int, str]]:
     """(start, kind) of the structural units of unescaped text in order of their first character."""
     spans = opaque_spans(text)
     out = [(start, kind) for start, _, kind in spans if kind == "code" or kind == "formula"]
@@ -146,11 +162,7 @@ def units(text: str, readers: dict[str, re.Pattern]) -> list[tuple[int, str]]:
                 stream = _stream(block)
                 if "h" not in stream:
                     continue
-                if host == "unknown":
-                    fits = [h for h in ("markdown", "wiki") if readers[h].fullmatch(stream)]
-                    heading = fits[:1] == ["markdown"]
-                else:
-                    heading = host == "markdown"
+                heading = (wrappers.host(stream) if host == "unknown" else host) == "markdown"
                 for m in _HASH.finditer(block):
                     rest = block[m.end() : m.end() + 1]
                     if rest not in ("", "\n"):
@@ -159,29 +171,37 @@ def units(text: str, readers: dict[str, re.Pattern]) -> list[tuple[int, str]]:
     return out
 
 
-def _wrappers(pages: DataFrame, sample_pages: int) -> dict[str, tuple[str, ...]]:
-    rows = pages.select("text").where(F.col("text").contains("#")).limit(sample_pages).toArrow().column(0).to_pylist()
-    return infer_wrappers([unescape_once(t) for t in rows])
+def _wrappers(pages: DataFrame) -> Wrappers:
+    """Wrappers from all pages; each shape counts once per revision. Only distinct shapes reach the driver."""
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(rev, *x) for rev, t in zip(b.column("rev_id").to_pylist(), b.column("text").to_pylist()) for x in sorted(shapes(unescape_once(t)))]
+        cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+        return pa.RecordBatch.from_arrays(cols, ["rev_id", "host", "shape"])
+
+    seen = map_rows(pages.select("rev_id", "text").where(F.col("text").contains("#")), batch, "rev_id BIGINT, host STRING, shape STRING")
+    counts: dict[str, dict[tuple[str, ...], int]] = {}
+    for row in seen.distinct().groupBy("host", "shape").count().collect():
+        counts.setdefault(row["host"], {})[fold(row["shape"])] = row["count"]
+    return Wrappers(counts)
 
 
 _KINDS = ("heading", "item", "code", "formula")
 
 
-def structural_units(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+def structural_units(pages: DataFrame) -> DataFrame:
     """rev_id, unit_no, kind of every structural unit of every page revision.
 
     `pages` needs rev_id and text (escaped). Null, empty and unit-free texts
     give no rows. A revision that occurs twice counts once. Wrappers are
-    inferred from at most `sample_pages` texts and applied to all. Other
-    columns are ignored. One shuffle, of short unit strings, by rev_id.
+    inferred from all pages. Other columns are ignored. One shuffle, of short unit strings, by rev_id.
     """
-    wrappers = _wrappers(pages, sample_pages)
+    wrappers = _wrappers(pages)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        readers = {host: _reader(w) for host, w in wrappers.items()}
         code = {"heading": "h", "item": "i", "code": "c", "formula": "f"}
         found = [
-            "".join(code[kind] for _, kind in units(unescape_once(t), readers)) if t else "" for t in b.column("text").to_pylist()
+            "".join(code[kind] for _, kind in units(unescape_once(t), wrappers)) if t else "" for t in b.column("text").to_pylist()
         ]
         return pa.RecordBatch.from_arrays([b.column("rev_id"), pa.array(found, pa.string())], ["rev_id", "units"])
 
@@ -215,7 +235,7 @@ def _inline(piece: str) -> str:
     return piece
 
 
-def clean(text: str, readers: dict[str, re.Pattern]) -> str:
+def clean(text: str, wrappers: Wrappers) -> str:
     """Clean text of one page: one block per line group; units are marked `[kind] `, in order.
 
     Code and formulas are kept as written; comments, references, files,
@@ -224,7 +244,7 @@ def clean(text: str, readers: dict[str, re.Pattern]) -> str:
     spans = opaque_spans(text)
     mask = masked(text, spans)
     cut = [(c[0], c[1]) for c in calls(mask) if c[2] < 0]
-    marks = units(text, readers)
+    marks = units(text, wrappers)
     keep = {s: (e, k) for s, e, k in spans}
     for m in _DROP.finditer(mask):
         cut.append(m.span())
@@ -257,13 +277,12 @@ def clean(text: str, readers: dict[str, re.Pattern]) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
-def clean_pages(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+def clean_pages(pages: DataFrame) -> DataFrame:
     """rev_id, clean: the clean text of every revision (null and empty texts stay as they are); no shuffle."""
-    wrappers = _wrappers(pages, sample_pages)
+    wrappers = _wrappers(pages)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        readers = {host: _reader(w) for host, w in wrappers.items()}
-        done = [clean(unescape_once(t), readers) if t else t for t in b.column("text").to_pylist()]
+        done = [clean(unescape_once(t), wrappers) if t else t for t in b.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([b.column("rev_id"), pa.array(done, pa.string())], ["rev_id", "clean"])
 
     return map_rows(pages.select("rev_id", "text"), batch, "rev_id BIGINT, clean STRING")

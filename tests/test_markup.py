@@ -9,3 +9,18 @@ def found(spark, *texts):
 def test_units_are_numbered_without_an_empty_one_at_the_end(spark):
     got = found(spark, "== A ==\n* b\n&lt;pre&gt;c&lt;/pre&gt;\n", "* only\n", "no unit", None, "")
     assert got == [(1, 1, "heading"), (1, 2, "item"), (1, 3, "code"), (2, 1, "item")]
+
+
+def test_every_shape_of_a_host_enters_its_wrapper_at_any_size():
+    for n in (1, 100, 10000):
+        w = markup.induce({("h",): 70 * n, ("s", "h", "T"): 1})
+        assert markup.accepts(w, "h") and markup.accepts(w, "shT")
+    many = {("h", *"T" * n): 60 - n for n in range(60)}
+    assert markup.accepts(markup.induce(many), "h" + "T" * 59)
+
+
+def test_shared_shape_goes_to_the_host_that_shows_it_more_often(spark):
+    w = markup.Wrappers({"markdown": {("h",): 99, ("(h)+",): 1}, "wiki": {("(h)+",): 90, ("h",): 10}})
+    assert w.host("h") == "markdown" and w.host("hhh") == "wiki"
+    pages = ["# Camiro\n\nSee [here](http://a.b).\n"] * 3 + ["[[a]]\n\n# b\n# c\n"] * 3 + ["# x\n# y\n"]
+    assert found(spark, *pages)[-2:] == [(7, 1, "item"), (7, 2, "item")]
