@@ -13,6 +13,7 @@ them.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -216,7 +217,7 @@ def structural_units(pages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- clean text
 
 _DROP = re.compile(
-    r"<ref\b[^>]*/>|<ref\b[^>]*>.*?</ref\s*>|<(?P<t>style|script)\b.*?</(?P=t)\s*>|\{\|.*?\n\|\}|<!--.*?-->|<!--.*\Z"
+    r"<ref\b[^>]*/>|<ref\b[^>]*>.*?</ref\s*>|<(?P<t>style|script)\b.*?</(?P=t)\s*>|<!--.*?-->|<!--.*\Z"
     r"|\[\[(?:category|file|image|media):(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]",
     re.S | re.I,
 )
@@ -235,28 +236,86 @@ def _inline(piece: str) -> str:
     return piece
 
 
+_VARIABLE_OR_LINK = re.compile(r"\{\{\{[^{}]*\}\}\}|\[\[[^\[\]]*\]\]")
+_KEY = re.compile(r"[ \t]*[\w .\-]*=[ \t]*|")
+_ROW = re.compile(r"\n?[ \t]*\|-[^\n]*|\n[ \t]*\|\}|\n[ \t]*(?:\|\+?|!)(?:[^|!\n\[{}]*=[^|!\n\[{}]*\|(?!\|))?|(?:\|\||!!)(?:[^|!\n\[{}]*=[^|!\n\[{}]*\|(?!\|))?")
+
+
+def _call_signs(mask: str) -> list[tuple[int, int, str]]:
+    """(start, end, replacement) of the signs, names and keys of calls; the values stay."""
+    found = calls(mask)
+    inner: dict[int, list[list[int]]] = {}
+    for c in found:
+        inner.setdefault(c[2], []).append(c)
+    out = []
+    for i, (start, end, _, _) in enumerate(found):
+        body, at = [], start + 2
+        for a, b, _, _ in inner.get(i, []):
+            body += [mask[at:a], "\x00" * (b - a)]
+            at = b
+        body = _VARIABLE_OR_LINK.sub(lambda m: "\x00" * len(m[0]), "".join(body) + mask[at : end - 2])
+        bars = [start + 2 + m.start() for m in re.finditer(r"\|", body)]
+        out.append((start, bars[0] if bars else end - 2, ""))
+        out += [(x, start + 2 + _KEY.match(body, x - start - 1).end(), " " if n else "") for n, x in enumerate(bars)]
+        out.append((end - 2, end, ""))
+    return out
+
+
+def _table_signs(mask: str) -> list[tuple[int, int, str]]:
+    """(start, end, replacement) of the signs and attributes of tables; rows become lines, cells stand side by side."""
+    out = []
+    for t in re.finditer(r"^[ \t:]*(\{\|[^\n]*)(.*?)\n[ \t]*\|\}", mask, re.M | re.S):
+        out.append((*t.span(1), ""))
+        fresh = True
+        for m in _ROW.finditer(mask, t.end(1), t.end()):
+            sign = m[0].strip()
+            row = sign.startswith(("|-", "|}"))
+            out.append((*m.span(), "\n" if row else "" if fresh else " "))
+            fresh = row
+    return out
+
+
+def _around(text: str, cuts: list[tuple[int, int, str]], marks: list[tuple[int, str]], keep: dict) -> list[tuple[int, int, str]]:
+    """The cuts without the units inside them; a heading or item reaches to the end of its line."""
+    starts = [s for s, _ in marks]
+    out = []
+    for start, end, put in cuts:
+        for k in range(bisect_left(starts, start), bisect_left(starts, end)):
+            at, kind = marks[k]
+            if at < start:
+                continue
+            if at > start:
+                out.append((start, at, put))
+            line = text.find("\n", at)
+            stop = keep[at][0] if kind in ("code", "formula") else line if line >= 0 else len(text)
+            start = max(start, min(stop, end))
+        if start < end:
+            out.append((start, end, put))
+    return out
+
+
 def clean(text: str, wrappers: Wrappers) -> str:
     """Clean text of one page: one block per line group; units are marked `[kind] `, in order.
 
-    Code and formulas are kept as written; comments, references, files,
-    categories, tables and outer template calls go.
+    Code and formulas are kept as written. Calls give the values of their
+    parameters, tables one line per row. Comments, references, files and
+    categories go, but not a unit that lies inside them.
     """
     spans = opaque_spans(text)
     mask = masked(text, spans)
-    cut = [(c[0], c[1]) for c in calls(mask) if c[2] < 0]
     marks = units(text, wrappers)
     keep = {s: (e, k) for s, e, k in spans}
-    for m in _DROP.finditer(mask):
-        cut.append(m.span())
+    cut = _around(text, [(*m.span(), "") for m in _DROP.finditer(mask)] + _call_signs(mask) + _table_signs(mask), marks, keep)
     out: list[str] = []
     at = 0
-    events = sorted([(s, 0, e, "") for s, e in cut] + [(s, 1, s, k) for s, k in marks] + [(s, 2, e, k) for s, (e, k) in keep.items()])
+    events = sorted([(s, 0, e, put) for s, e, put in cut] + [(s, 1, s, k) for s, k in marks] + [(s, 2, e, k) for s, (e, k) in keep.items()])
     for start, what, end, kind in events:
         if start < at:
             continue
         out.append(_inline(text[at:start]))
         at = max(at, start)
         if what == 0:
+            out.append(kind)
             at = end
         elif what == 1:
             if kind in ("code", "formula"):

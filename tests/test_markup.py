@@ -24,3 +24,18 @@ def test_shared_shape_goes_to_the_host_that_shows_it_more_often(spark):
     assert w.host("h") == "markdown" and w.host("hhh") == "wiki"
     pages = ["# Camiro\n\nSee [here](http://a.b).\n"] * 3 + ["[[a]]\n\n# b\n# c\n"] * 3 + ["# x\n# y\n"]
     assert found(spark, *pages)[-2:] == [(7, 1, "item"), (7, 2, "item")]
+
+
+def test_calls_and_tables_keep_their_text_and_units():
+    w = markup.Wrappers({})
+    texts = {
+        "* court {{nowrap|Camiro}} of {{convert|632|c}}": "[item] court Camiro of 632 c",
+        "{{box|name = Velda\n| parts =\n* one\n* two {{small|three}}\n}}": None,
+        "{| class=x\n|-\n! a !! b\n|-\n| c || d\n|}": "a  b\n c  d",
+        "a <ref>see <math>x</math> there</ref> b": None,
+    }
+    for text, clean in texts.items():
+        got = markup.clean(text, w)
+        assert markup.re.findall(r"\[(heading|item|code|formula)\]", got) == [k for _, k in markup.units(text, w)]
+        if clean:
+            assert got.split() == clean.split(), got
