@@ -6,7 +6,7 @@ positions that do not are its constant text. A slot that still holds a variable
 name, a default or a blank, in a sentence with no slot filled by a real value,
 is unfilled residue; a variable at a constant position beside filled slots is
 an article that mentions one. Whole lines of error, notice and filler templates
-are recognised by cue patterns and counted over the pages they repeat on.
+are recognised by cue patterns alone, however often they repeat.
 """
 
 from __future__ import annotations
