@@ -1,14 +1,41 @@
-"""Token ids of documents by a public byte-level tokenizer."""
+"""Token ids of documents by a public byte-level tokenizer, through a table of distinct words.
+
+1. Texts are cut into the tokenizer's words in Spark (a JVM regular expression).
+2. Documents are gathered into blocks of a bounded number of words; a block
+   stores each of its distinct words once and a code (position in that list)
+   per running word. So only distinct words per block are shuffled, never all
+   running words, and a word as common as "the" costs one row per block.
+3. Each distinct word of the corpus is encoded once.
+4. The ids are joined back to the blocks' lists and placed by position.
+
+Decoding joins ids to the vocabulary's pieces.
+"""
 
 from __future__ import annotations
 
 import base64
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliospark.functions.arrow import map_rows
+from foliospark.functions.stage import written
+
+#: Fixed value: the word pattern of the byte-level tokenizers, with Unicode white space.
+WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Running words of a block; bounds the memory of a task, not the result.
+BLOCK_WORDS = 200_000
+
+
+@cache
+def _ranks(name: str) -> dict[bytes, int]:
+    import public_tokenizers as P
+
+    with open(P.path(f"{name}.tiktoken"), "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 @cache
@@ -17,17 +44,133 @@ def encoding(name: str = "byte_bpe_50k"):
     import public_tokenizers as P
     import tiktoken
 
-    with open(P.path(f"{name}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=_ranks(name), special_tokens={})
+
+
+@cache
+def _splitter():
+    import public_tokenizers as P
+    import regex
+
+    return regex.compile(P.PATTERN)
+
+
+def _block_batches(batches):
+    task = TaskContext.get()
+    at = (task.partitionId() if task else 0) << 32
+    for b in batches:
+        words = b.column("words")
+        rare = b.column("rare")
+        if rare.null_count < len(rare):  # signs newer than the JVM's tables are cut here
+            words = pa.array([w if r is None else _splitter().findall(r) for w, r in zip(words.to_pylist(), rare.to_pylist())], pa.list_(pa.string()))
+        lens = np.diff(words.offsets.to_numpy()) if words.null_count == 0 else np.array([0 if x is None else x for x in words.value_lengths().to_pylist()])
+        ends = np.cumsum(lens)
+        start = 0
+        while start < len(lens):
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + BLOCK_WORDS, "right")))
+            coded = words.slice(start, stop - start).flatten().dictionary_encode()
+            if isinstance(coded, pa.ChunkedArray):
+                coded = coded.combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([at], pa.int64()),
+                    pa.array([b.column("doc_id").slice(start, stop - start).to_pylist()], pa.list_(pa.int64())),
+                    _one_list(lens[start:stop].astype(np.int32)),
+                    _one_list(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())),
+                ],
+                ["block", "docs", "lens", "codes", "words"],
+            )
+            at += 1
+            start = stop
+
+
+def _one_list(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
+
+
+def word_blocks(documents: DataFrame) -> DataFrame:
+    """block, docs, lens, codes, words: the documents as blocks of coded words, written to the shared folder."""
+    text = F.col("text")
+    cut = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.expr(f"CASE WHEN text IS NULL THEN array() ELSE regexp_extract_all(text, r\"{WORD}\", 0) END").alias("words"),
+        F.when(text.rlike(r"\p{Cn}"), text).alias("rare"),
+    )
+    schema = "block BIGINT, docs ARRAY<BIGINT>, lens ARRAY<INT>, codes ARRAY<INT>, words ARRAY<STRING>"
+    return written(cut.mapInArrow(_block_batches, schema), "word-blocks")
+
+
+def word_table(blocks: DataFrame, name: str) -> DataFrame:
+    """word, piece_ids: each distinct word of the corpus, encoded once."""
+
+    def encode(b: pa.RecordBatch) -> pa.RecordBatch:
+        words = b.column("word")
+        ids = encoding(name).encode_ordinary_batch(words.to_pylist(), num_threads=1)
+        return pa.RecordBatch.from_arrays([words, pa.array(ids, pa.list_(pa.int32()))], ["word", "piece_ids"])
+
+    return map_rows(blocks.select(F.explode("words").alias("word")).distinct(), encode, "word STRING, piece_ids ARRAY<INT>")
+
+
+def _place(b: pa.RecordBatch) -> pa.RecordBatch:
+    docs, counts, values = [], [], []
+    col = {n: b.column(n) for n in b.schema.names}
+    for r in range(b.num_rows):
+        pieces = col["pieces"][r].values
+        codes = col["codes"][r].values.to_numpy()
+        lens = col["lens"][r].values.to_numpy()
+        docs.append(col["docs"][r].values)
+        if len(codes) == 0:
+            counts.append(np.zeros(len(lens), np.int64))
+            continue
+        off = pieces.offsets.to_numpy().astype(np.int64)
+        flat = pieces.values.to_numpy()
+        n = (off[1:] - off[:-1])[codes]
+        ends = np.cumsum(n)
+        values.append(flat[np.repeat(off[codes] - (ends - n), n) + np.arange(ends[-1])])
+        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lens)))]
+        counts.append(np.diff(upto))
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+    flat = np.concatenate(values).astype(np.int32) if values else np.zeros(0, np.int32)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(docs).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
+
+
+def token_ids(documents: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
+    """doc_id, ids of every document row; a null or empty text gives an empty list.
+
+    `documents` needs doc_id and text; rows with a null or repeated doc_id are
+    encoded like any other, other columns are ignored. Special tokens that a
+    text spells out are ordinary text.
+    """
+    blocks = word_blocks(documents)
+    refs = blocks.select("block", F.posexplode("words").alias("code", "word")).join(word_table(blocks, name), "word")
+    lists = refs.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("code", "piece_ids"))).alias("p"))
+    joined = blocks.select("block", "docs", "lens", "codes").join(lists, "block", "left")
+    placed = joined.select("docs", "lens", "codes", F.coalesce("p.piece_ids", F.expr("cast(array() as array<array<int>>)")).alias("pieces"))
+
+    def place(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                yield _place(b.slice(r, 1))
+
+    return placed.mapInArrow(place, "doc_id BIGINT, ids ARRAY<INT>")
+
 
+def pieces(spark: SparkSession, name: str = "byte_bpe_50k") -> DataFrame:
+    """id, piece (hex) of a public vocabulary: a table of fixed size (50,256 rows)."""
+    return spark.createDataFrame([(i, b.hex()) for b, i in _ranks(name).items()], "id INT, piece STRING")
 
-def _batch(b: pa.RecordBatch) -> pa.RecordBatch:
-    enc = encoding()
-    ids = [enc.encode_ordinary(t) if t else [] for t in b.column("text").to_pylist()]
-    return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
+def decoded(ids: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
+    """doc_id, text back from doc_id, ids by a join with the vocabulary's pieces; an empty list gives ''.
 
-def token_ids(documents: DataFrame) -> DataFrame:
-    """doc_id, ids of every document; null and empty texts give an empty list. No shuffle."""
-    return map_rows(documents.select("doc_id", "text"), _batch, "doc_id BIGINT, ids ARRAY<INT>")
+    The vocabulary has a fixed size and is broadcast; the shuffle is by row.
+    Bytes that are no UTF-8 decode to replacement signs. Repeated doc_ids keep
+    their own rows.
+    """
+    rows = ids.select("doc_id", "ids", F.monotonically_increasing_id().alias("_row"))
+    at = rows.select("_row", "doc_id", F.posexplode_outer("ids").alias("_at", "id"))
+    joined = at.join(F.broadcast(pieces(ids.sparkSession, name)), "id", "left")
+    back = joined.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("_at", "piece"))).alias("p"))
+    return back.select("doc_id", F.expr("decode(unhex(array_join(p.piece, '')), 'utf-8')").alias("text"))
