@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from foliospark.llm import leaks, markup, residue, split, tokens
 from foliospark.sources.tables import table
 
@@ -14,6 +16,10 @@ def p2_found(spark, d):
     return split.oversized(table(spark, d, "dump_pages"))
 
 
+def p2_pieces(spark, d):
+    return split.split_pages(table(spark, d, "dump_pages"))
+
+
 def p3_found(spark, d):
     return markup.structural_units(table(spark, d, "dump_pages"))
 
@@ -26,9 +32,20 @@ def p8_ids(spark, d):
     return tokens.token_ids(table(spark, d, "documents"))
 
 
+def p8_decoded(spark, d):
+    return tokens.decoded(tokens.token_ids(table(spark, d, "documents")))
+
+
 def p9_found(spark, d):
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p8_ids": p8_ids, "p9_found": p9_found}
-ORACLES: dict[str, str] = {}
+def p9_near(spark, d):
+    return leaks.near_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {n: f for n, f in list(globals().items()) if re.match(r"p\d+_", n) and callable(f)}
+#: SQL twins. p8_decoded: decoding undoes encoding, so the texts themselves are the result.
+ORACLES: dict[str, str] = {
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}

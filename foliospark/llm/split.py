@@ -8,6 +8,7 @@ strongest boundary near it, and a piece is added whenever a limit fails.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -16,10 +17,10 @@ from foliospark.functions.arrow import map_rows
 
 LIMIT, OVERLAP = 6000, 300
 
-#: Boundary patterns from strongest to weakest, on UTF-8 bytes; the cut is at the match's end (section: at its start).
 _SPACE = rb"(?:[ \t\n\r\x0b\x0c]|\xe3\x80\x80|\xc2\xa0|\xe2\x80[\x80-\x8a])"
+#: Boundary patterns from strongest to weakest, on UTF-8 bytes; a cut is at the match's end.
 _BOUNDARIES = (
-    ("section", re.compile(rb"(?<=\n)(?==|#{1,6} |\\(?:sub)*section|&lt;h[1-6])")),
+    ("section", re.compile(rb"\n(?==|#{1,6} |\\(?:sub)*section|&lt;h[1-6])")),
     ("paragraph", re.compile(rb"\n[ \t\r]*\n+")),
     ("line", re.compile(rb"\n")),
     ("sentence", re.compile(rb"[.!?][\"')\]]*" + _SPACE + rb"+|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f")),
@@ -28,35 +29,38 @@ _BOUNDARIES = (
 
 
 def _char_start(b: bytes, at: int) -> int:
-    while at > 0 and at < len(b) and b[at] & 0xC0 == 0x80:
+    while 0 < at < len(b) and b[at] & 0xC0 == 0x80:
         at -= 1
     return at
 
 
-def _snap(b: bytes, low: int, target: int, high: int) -> tuple[int, str]:
+def _nearest(places: list[int], low: int, target: int, high: int) -> int:
+    """The place in (low, high] nearest to the target, -1 if there is none."""
+    i = bisect_left(places, target)
+    near = [x for x in places[max(0, i - 1) : i + 1] if low < x <= high]
+    return min(near, key=lambda x: (abs(x - target), x), default=-1)
+
+
+def _snap(kinds: list[tuple[str, list[int]]], low: int, target: int, high: int) -> tuple[int, str]:
     """The cut in (low, high] of the strongest kind, nearest to the target."""
-    window = b[low:high]
-    for kind, pattern in _BOUNDARIES:
-        best = min((low + m.end() for m in pattern.finditer(window) if m.end() > 0), key=lambda x: (abs(x - target), x), default=None)
-        if best is not None and best > low:
-            return best, kind
-    at = _char_start(b, target)
-    return (at, "character") if at > low else (_char_start(b, high), "character")
+    for kind, places in kinds:
+        at = _nearest(places, low, target, high)
+        if at >= 0:
+            return at, kind
+    return -1, "character"
 
 
-def _overlap_start(b: bytes, low: int, cut: int, overlap: int) -> int:
+def _overlap_start(b: bytes, kinds: list[tuple[str, list[int]]], low: int, cut: int, overlap: int) -> int:
     """Where the repeated end of the piece before begins: a sentence or word start where there is one."""
-    floor = max(low, cut - overlap)
-    at = floor
-    while at < cut and b[at] & 0xC0 == 0x80:
-        at += 1
+    at = max(low, cut - overlap)
     if at <= low:
         return low
-    window = b[at:cut]
-    for _, pattern in _BOUNDARIES[3:]:
-        m = pattern.search(window)
-        if m and m.end() < len(window):
-            return at + m.end()
+    while at < cut and b[at] & 0xC0 == 0x80:
+        at += 1
+    for _, places in kinds[3:]:
+        i = bisect_left(places, at)
+        if i < len(places) and places[i] < cut:
+            return places[i]
     return at
 
 
@@ -64,40 +68,38 @@ def balanced_cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list
     """(start, new content from, end, kind of cut at the end) in bytes, in order; one piece if the text fits.
 
     Every piece has at most `limit` bytes and repeats at most `overlap` bytes
-    of the end of the one before; new contents joined give the text. Needs
-    limit >= overlap + 8.
+    of the end of the one before; new contents joined give the text. The rest
+    of the text is shared evenly among the pieces still planned; whenever a
+    snap leaves more than they can hold, a piece is added. Time is linear in
+    the text. Needs limit >= overlap + 8.
     """
     b = text.encode("utf-8", "surrogatepass")
     n = len(b)
     if n <= limit:
         return [(0, 0, n, "end")]
+    kinds = [(kind, [m.end() for m in pattern.finditer(b)]) for kind, pattern in _BOUNDARIES]
     room = limit - overlap
-    pieces = 1 + -(-(n - limit) // room)
-    while True:
-        size = n / pieces
-        slack = max(8, int(min(size / 3, limit - size if size < limit else 8)))
-        out: list[tuple[int, int, int, str]] = []
-        fresh = start = 0
-        failed = False
-        for k in range(1, pieces):
-            target = round(k * size)
-            high = min(start + limit, target + slack, n - 1)
-            low = max(fresh, min(target - slack, high - 8))
-            if high <= fresh:
-                failed = True
-                break
-            cut, kind = _snap(b, low, min(target, high), high)
-            if kind == "character":  # no boundary near the target: the whole room of the piece
-                cut, kind = _snap(b, fresh, min(target, high), min(start + limit, n - 1))
-            if cut <= fresh or cut - start > limit:
-                failed = True
-                break
-            out.append((start, fresh, cut, kind))
-            start, fresh = _overlap_start(b, fresh, cut, overlap), cut
-        if not failed and n - start <= limit:
-            out.append((start, fresh, n, "end"))
-            return out
-        pieces += 1
+    left = 1 + -(-(n - limit) // room)
+    out: list[tuple[int, int, int, str]] = []
+    fresh = start = 0
+    while n - start > limit:
+        left = max(left, 1 + -(-(n - start - limit) // room))
+        size = (n - fresh) / left
+        high = min(start + limit, n - 1)
+        target = min(round(fresh + size), high)
+        slack = max(8, int(size / 4))
+        cut, kind = _snap(kinds, max(fresh, target - slack), target, min(high, target + slack))
+        if cut < 0:  # no boundary near the target: the whole room of the piece
+            cut, kind = _snap(kinds, fresh, target, high)
+        if cut < 0:
+            cut = _char_start(b, target)
+            if cut <= fresh:
+                cut = _char_start(b, high)
+        out.append((start, fresh, cut, kind))
+        start, fresh = _overlap_start(b, kinds, fresh, cut, overlap), cut
+        left -= 1
+    out.append((start, fresh, n, "end"))
+    return out
 
 
 _STRETCH = re.compile(r"[^\s.!?。！？]+")
@@ -105,8 +107,7 @@ _STRETCH = re.compile(r"[^\s.!?。！？]+")
 
 def unbroken(text: str, limit: int = LIMIT) -> int:
     """Stretches over `limit` bytes without white space or sentence end."""
-    least = limit // 4
-    return sum(1 for m in re.finditer(r"[^\s.!?。！？]{%d,}" % (least + 1), text) if len(m[0].encode("utf-8", "surrogatepass")) > limit)
+    return sum(1 for m in _STRETCH.finditer(text) if 4 * (m.end() - m.start()) > limit and len(m[0].encode("utf-8", "surrogatepass")) > limit)
 
 
 def _pieces(pages: DataFrame, limit: int, overlap: int, with_text: bool) -> DataFrame:
@@ -137,7 +138,8 @@ def split_pages(pages: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
     Null, empty and fitting texts give no rows. A repeated revision is split
     once per distinct text. Other columns are ignored.
     """
-    once = pages.where(F.octet_length("text") > limit).select("rev_id", "text").dropDuplicates(["rev_id", "text"])
+    large = pages.where(F.octet_length("text") > limit).select("rev_id", "text", F.sha2("text", 256).alias("digest"))
+    once = large.groupBy("rev_id", "digest").agg(F.first("text").alias("text"))
     return _pieces(once, limit, overlap, True).select("rev_id", F.inline("pieces"))
 
 
