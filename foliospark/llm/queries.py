@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from foliospark.llm import leaks, markup, residue, split, tokens
+from foliospark.llm import leaks, markup, residue, sentences, split, tokens
 from foliospark.sources.tables import table
 
 
@@ -44,6 +44,14 @@ def p9_near(spark, d):
     return leaks.near_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p10_found(spark, d):
+    return sentences.sentence_units(table(spark, d, "documents").where("form = 'prose'"))
+
+
+def p10_units(spark, d):
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if re.match(r"p\d+_", n) and callable(f)}
 #: SQL twins. p8_decoded: decoding undoes encoding, so the texts themselves are the result.
 ORACLES: dict[str, str] = {
