@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from foliospark.llm import duplicates, leaks, markup, residue, sentences, split, tokens
+from foliospark.llm import duplicates, leaks, markup, quality, residue, sentences, split, tokens
 from foliospark.sources.tables import table
 
 
@@ -60,6 +60,14 @@ def p5_groups(spark, d):
     return duplicates.groups(table(spark, d, "dump_pages"))
 
 
+def p6_found(spark, d):
+    return quality.shapes(table(spark, d, "dump_pages"))
+
+
+def p6_statistics(spark, d):
+    return quality.outliers(quality.text_statistics(table(spark, d, "dump_pages")))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if re.match(r"p\d+_", n) and callable(f)}
 #: SQL twins. p8_decoded: decoding undoes encoding, so the texts themselves are the result.
 ORACLES: dict[str, str] = {
