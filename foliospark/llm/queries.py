@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from foliospark.llm import duplicates, leaks, markup, quality, residue, sentences, split, tokens
+from pyspark.sql import functions as F
+
+from foliospark.llm import duplicates, leaks, markup, quality, residue, sentences, split, subjects, tokens
 from foliospark.sources.tables import table
 
 
@@ -68,6 +70,15 @@ def p6_statistics(spark, d):
     return quality.outliers(quality.text_statistics(table(spark, d, "dump_pages")))
 
 
+def p4_found(spark, d):
+    return subjects.page_subjects(table(spark, d, "dump_pages"), table(spark, d, "page_labels"))
+
+
+def p4_composition(spark, d):
+    found = subjects.page_subjects(table(spark, d, "dump_pages"), table(spark, d, "page_labels"))
+    return found.groupBy("subject").agg(F.count("*").alias("pages"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if re.match(r"p\d+_", n) and callable(f)}
 #: SQL twins. p8_decoded: decoding undoes encoding, so the texts themselves are the result.
 ORACLES: dict[str, str] = {
