@@ -14,6 +14,10 @@ def p1_found(spark, d):
     return residue.residue_pages(table(spark, d, "dump_pages"))
 
 
+def p1_templates(spark, d):
+    return residue.residue_templates(table(spark, d, "dump_pages"))
+
+
 def p2_found(spark, d):
     return split.oversized(table(spark, d, "dump_pages"))
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from foliospark.functions.arrow import map_rows
+from foliospark.functions.stage import written
 from foliospark.wikitext.lexer import calls, opaque_spans, unescape_once
 
 # ------------------------------------------------------- cue patterns
@@ -38,7 +39,7 @@ _CORE = re.compile(
     r"|\bchecking your browser\b|\bverify (?:that )?you are (?:a )?human\b|\b(?:javascript|scripts?|cookies) (?:is|are) (?:disabled|required|needed|switched off)\b"
     r"|\blorem ipsum\b|\bcoming soon\W*$|\bto follow\W*$|\badded (?:later|soon)\b|\bdummy (?:copy|text)\b|\b(?:own|your) (?:words|text)\b.*|\bgoes here\b"
     r"|\bfirst section here\b|\bonly fills? the space\b|\bin place of this line\b|^\(no \w+ yet\)\W*$|\bplaceholder\b|^sample \w+\W*$|\bsample text\W*$"
-    r"|^(\w+) one, \1 two, \1 three\W*$|^just an? \w+\W*$|^here be \w+\W*$|\bcannot reach\b|\bbackend node\b|^oops\b|\bunexpected error\b|\bplease wait\W*$",
+    r"|^(\w+) one, \1 two, \1 three\W*$|^just an? \w+\W*$|^here be \w+\W*$|\bcannot reach\b|\bbackend node\b|^(?:TODO|TBD|TBA|FIXME)(?:\W+(?:TODO|TBD|TBA|FIXME))*\W*$|^oops\b|\bunexpected error\b|\bplease wait\W*$",
     re.I,
 )
 _STATUS = re.compile(r"^[1-5]\d\d(?: [A-Z][a-z]+)+\W*$", re.I)
@@ -53,6 +54,7 @@ _NARRATIVE = re.compile(
     r"\b(?:[Ii]n|[Ss]ince|[Uu]ntil|[Bb]y|[Oo]f|as|[Ww]hen|before|after|to|from|for|with|that) (?:the )?(?:\d{4}\b|[A-Z][a-z]{2,}(?![-/\w]))|\(born\b|\bwrote\b|\bphrase\b|\bwords\b.*\bmargin\b"
 )
 _LATIN = re.compile(r"(?:lor|dol|sit|elit|cons|magn|temp|ull|ven|nost|adip|aliq|ips|amet|eius|labor)[a-z]{0,6}", re.I)
+_LONE = re.compile(r"[A-Z]\w+\W*")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[a-z][.!?…])(?=[A-Z])")
 _TAG = re.compile(r"(?<!<)</?(?:div|b|i|p|span|noscript|html|head|body|title|center|hr|br|strong|em|font|h[1-6]|small|section|article|main)\b[^<>]*>", re.I)
 
@@ -106,8 +108,10 @@ def _latin(words: list[str]) -> bool:
 
 
 def sentence_kind(s: str) -> str:
-    """core, trail, slot (holds placeholders) or none."""
+    """core, trail, slot (holds placeholders) or none. A lone word, such as a name that signs a line, decides nothing."""
     if not may_match(s):
+        if _LONE.fullmatch(s):
+            return "trail"
         return "core" if _latin(re.findall(r"[A-Za-z]+", s)) and not _NARRATIVE.search(s) else "none"
     if PLACEHOLDER.search(s) and re.search(r"[A-Za-z]{2}", s):
         return "slot"
@@ -117,7 +121,7 @@ def sentence_kind(s: str) -> str:
         return "none"
     if _CORE.search(s) or _STATUS.search(s) or _latin(re.findall(r"[A-Za-z]+", s)):
         return "core"
-    return "trail" if _TRAIL.search(s) else "none"
+    return "trail" if _TRAIL.search(s) or _LONE.fullmatch(s) else "none"
 
 
 def content_lines(text: str) -> list[str]:
@@ -233,7 +237,7 @@ _SCHEMA = "rev_id BIGINT, line INT, of INT, kind STRING, template STRING, words
 
 
 def _sentences(pages: DataFrame) -> DataFrame:
-    return map_rows(pages.where("ns = 0 AND length(text) > 0").select("rev_id", "text"), _batch, _SCHEMA)
+    return written(map_rows(pages.where("ns = 0 AND length(text) > 0").select("rev_id", "text"), _batch, _SCHEMA), "residue-sentences")
 
 
 def templates(sentences: DataFrame) -> DataFrame:
