@@ -1,28 +1,15 @@
-"""Queries of the core operators and their SQL twins."""
+"""All core queries by name, and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import functions as F
 
 from foliospark.operators import dewey
+from foliospark.plans import strings  # noqa: F401  (registers its queries)
+from foliospark.plans.registry import ORACLES, QUERIES, query
 from foliospark.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return register
+__all__ = ["ORACLES", "QUERIES"]
 
 
 @query("p7_found")
