@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliospark.operators import dewey
-from foliospark.plans import pages, strings, vectors  # noqa: F401  (registers its queries)
+from foliospark.plans import documents, markup, matrices, pages, strings, vectors  # noqa: F401  (registers its queries)
 from foliospark.plans.registry import ORACLES, QUERIES, query
 from foliospark.sources.tables import table
 
