@@ -70,7 +70,7 @@ def no_language(line: str) -> bool:
     letters = sum(c.isalpha() for c in line)
     if letters * 5 < len(line) * 2 and len(line) >= 12:  # digits and signs
         return not any(t.lower().strip(".,;") in ALL_COMMON for t in tokens)
-    if len(tokens) >= 8 and len(set(tokens)) * 4 <= len(tokens):
+    if len(tokens) >= 8 and len(set(tokens)) <= 4:
         return True
     if not line.isascii():
         if sum(1 for t in tokens if _BROKEN.search(t)) * 3 >= len(tokens) >= 3:

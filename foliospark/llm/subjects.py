@@ -166,7 +166,7 @@ def _weak_labels(pages: list[tuple[str, str, set[int]]]) -> tuple[list[str], np.
 def train(pages: list[tuple[str, str, set[int]]]) -> Model:
     """One logistic classifier per subject by full-batch gradient steps of adaptive size, then calibrated shares. Without labels nothing is found."""
     k = len(SUBJECTS)
-    none = Model(np.zeros((DIMENSIONS, k), np.float32), np.full(k, -1.0), np.full(k, 0.3))
+    none = Model(np.zeros((DIMENSIONS, k), np.float32), np.full(k, -9.0), np.full(k, 0.3))
     if not pages:
         return none
     kept = pages[::KEPT]

@@ -55,7 +55,7 @@ def _splitter():
     return regex.compile(P.PATTERN)
 
 
-def _block_batches(batches):
+def _block_batches(batches, most: int):
     task = TaskContext.get()
     at = (task.partitionId() if task else 0) << 32
     for b in batches:
@@ -68,7 +68,7 @@ def _block_batches(batches):
         start = 0
         while start < len(lens):
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + BLOCK_WORDS, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             coded = words.slice(start, stop - start).flatten().dictionary_encode()
             if isinstance(coded, pa.ChunkedArray):
                 coded = coded.combine_chunks()
@@ -90,7 +90,7 @@ def _one_list(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
 
 
-def word_blocks(documents: DataFrame) -> DataFrame:
+def word_blocks(documents: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
     """block, docs, lens, codes, words: the documents as blocks of coded words, written to the shared folder."""
     text = F.col("text")
     cut = documents.select(
@@ -99,7 +99,7 @@ def word_blocks(documents: DataFrame) -> DataFrame:
         F.when(text.rlike(r"\p{Cn}"), text).alias("rare"),
     )
     schema = "block BIGINT, docs ARRAY<BIGINT>, lens ARRAY<INT>, codes ARRAY<INT>, words ARRAY<STRING>"
-    return written(cut.mapInArrow(_block_batches, schema), "word-blocks")
+    return written(cut.mapInArrow(lambda batches: _block_batches(batches, most), schema), "word-blocks")
 
 
 def word_table(blocks: DataFrame, name: str) -> DataFrame:
