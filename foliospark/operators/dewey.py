@@ -97,22 +97,28 @@ def _links_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         parents.append([p for _, p, _ in links])
         params.append([p for _, _, p in links])
     return pa.RecordBatch.from_arrays(
-        [batch.column("rev_id"), pa.array(parents, pa.list_(pa.int32())), pa.array(params, pa.list_(pa.int32()))],
-        ["rev_id", "parents", "params"],
+        [batch.column("rev_id"), batch.column("unnamed"), pa.array(parents, pa.list_(pa.int32())), pa.array(params, pa.list_(pa.int32()))],
+        ["rev_id", "unnamed", "parents", "params"],
     )
 
 
+def _texts(pages: DataFrame) -> DataFrame:
+    """rev_id, unnamed (a text hash where rev_id is null, so that such pages stay apart), text."""
+    unnamed = F.when(F.col("rev_id").isNull(), F.xxhash64("text"))
+    return pages.where(F.length("text") > 0).select(F.col("rev_id").cast("long").alias("rev_id"), unnamed.alias("unnamed"), "text")
+
+
 def node_links(pages: DataFrame) -> DataFrame:
     """rev_id, node_no, parent_no, param_no of every node of every page revision.
 
     `pages` needs rev_id and text (escaped wikitext). Null and empty texts have
-    no nodes; a null rev_id is kept as a null key. A revision that occurs twice
+    no nodes; pages with a null rev_id keep it, one set of nodes per distinct
+    text. A revision that occurs twice
     counts once (of differing copies the one with the smallest node arrays);
     other columns are ignored. The only shuffle is of node arrays, by rev_id.
     """
-    packed = pages.select("rev_id", "text").where(F.length("text") > 0)
-    links = map_rows(packed, _links_batch, "rev_id BIGINT, parents ARRAY<INT>, params ARRAY<INT>")
-    once = links.where(F.size("parents") > 0).groupBy("rev_id").agg(F.min(F.struct("parents", "params")).alias("n"))
+    links = map_rows(_texts(pages), _links_batch, "rev_id BIGINT, unnamed BIGINT, parents ARRAY<INT>, params ARRAY<INT>")
+    once = links.where(F.size("parents") > 0).groupBy("rev_id", "unnamed").agg(F.min(F.struct("parents", "params")).alias("n"))
     return once.select("rev_id", F.posexplode(F.arrays_zip("n.parents", "n.params")).alias("at", "x")).select(
         "rev_id", (F.col("at") + 1).alias("node_no"), F.col("x.parents").alias("parent_no"), F.col("x.params").alias("param_no")
     )
@@ -139,9 +145,14 @@ def node_tables(pages: DataFrame) -> DataFrame:
                 ]
             )
         )
-        return pa.RecordBatch.from_arrays([b.column("rev_id"), pa.array(rows, kind)], ["rev_id", "nodes"])
+        return pa.RecordBatch.from_arrays([b.column("rev_id"), b.column("unnamed"), pa.array(rows, kind)], ["rev_id", "unnamed", "nodes"])
 
-    schema = T.StructType([T.StructField("rev_id", T.LongType()), T.StructField("nodes", NODE_TYPE)])
-    nodes = map_rows(pages.select("rev_id", "text").where(F.length("text") > 0), batch, schema)
-    once = nodes.where(F.size("nodes") > 0).groupBy("rev_id").agg(F.min("nodes").alias("nodes"))
+    schema = T.StructType([T.StructField("rev_id", T.LongType()), T.StructField("unnamed", T.LongType()), T.StructField("nodes", NODE_TYPE)])
+    nodes = map_rows(_texts(pages), batch, schema)
+    once = nodes.where(F.size("nodes") > 0).groupBy("rev_id", "unnamed").agg(F.min("nodes").alias("nodes"))
     return once.select("rev_id", F.inline("nodes"))
+
+
+def path_table(nodes: DataFrame, kind: str) -> DataFrame:
+    """The flat table of one kind of node (section or call), whatever its schema path; parent_no links it to the table of the parent."""
+    return nodes.where(F.col("path").endswith(f"/{kind}"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -89,7 +90,7 @@ class _Builder(HTMLParser):
         self._text(data.replace("&", "&amp;") if self.open and self.open[-1][0] in ("script", "style") else re.sub(r"&(?!#?\w+;)", "&amp;", data))
 
     def handle_entityref(self, name):
-        self._text(f"&{name};")
+        self._text(f"&{name};" if f"{name};" in html5 else f"&amp;{name}")
 
     def handle_charref(self, name):
         self._text(f"&#{name};")

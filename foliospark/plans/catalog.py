@@ -21,3 +21,15 @@ def p7_found(spark, d):
 def p7_tables(spark, d):
     nodes = dewey.node_tables(table(spark, d, "dump_pages"))
     return nodes.select("rev_id", "node_no", "parent_no", "param_no", F.array_join(F.col("label").cast("array<string>"), ".").alias("label"), "path", "name")
+
+
+@query("p7_sections")
+def p7_sections(spark, d):
+    nodes = dewey.path_table(dewey.node_tables(table(spark, d, "dump_pages")), "section")
+    return nodes.select("rev_id", "node_no", "parent_no", F.size("label").alias("depth"), "name")
+
+
+@query("p7_calls")
+def p7_calls(spark, d):
+    nodes = dewey.path_table(dewey.node_tables(table(spark, d, "dump_pages")), "call")
+    return nodes.select("rev_id", "node_no", "parent_no", "param_no", "path", "name")

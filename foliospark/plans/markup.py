@@ -9,21 +9,36 @@ from foliospark.operators import documents as D, markup_trees as M
 from foliospark.plans.registry import columns, query
 from foliospark.sources.tables import table
 
-X, N = F.col("text"), F.col("p_name")
-B = F.col("p_brand")
-
-columns("regex_full_match", "part", ["p_partkey"], {"ok": (R.full(B, r"Brand#[1-9]\d?"), "regexp_full_match(p_brand, 'Brand#[1-9]\\d?')"), "part": (R.partial(B, "#1"), "regexp_matches(p_brand, '#1')")})
-columns("regex_consume", "part", ["p_partkey"], {"rest": (R.consumed(B, r"Brand#\d"), "CASE WHEN regexp_matches(p_brand, '^Brand#\\d') THEN substr(p_brand, length(regexp_extract(p_brand, '^Brand#\\d')) + 1) END")})
-columns("regex_extract_all", "documents", ["doc_id"], {"years": (R.found(X, r"1[0-9]{3}"), "regexp_extract_all(text, '1[0-9]{3}')"), "n": (R.count(X, r"1[0-9]{3}"), "len(regexp_extract_all(text, '1[0-9]{3}'))")})
-columns("regex_replace_first", "dump_pages", ["rev_id"], {"x": (R.replace_first(X, "(the|a) ([a-z]+)", "<$2>"), "regexp_replace(text, '(the|a) ([a-z]+)', '<\\2>')")})
-columns("regex_global_replace", "dump_pages", ["rev_id"], {"x": (R.replace_all(X, "(the|a) ([a-z]+)", "<$2>"), "regexp_replace(text, '(the|a) ([a-z]+)', '<\\2>', 'g')"), "n": (R.count(X, "(the|a) ([a-z]+)"), "len(regexp_extract_all(text, '(the|a) ([a-z]+)'))")})
-columns("regex_rewrite", "documents", ["doc_id"], {"x": (R.extracted(X, r"in ([0-9]{4}) ([a-z]+)", [2, ":", 1]), "CASE WHEN regexp_matches(text, 'in ([0-9]{4}) ([a-z]+)') THEN regexp_extract(text, 'in ([0-9]{4}) ([a-z]+)', 2) || ':' || regexp_extract(text, 'in ([0-9]{4}) ([a-z]+)', 1) END")})
-columns("regex_quote", "dump_pages", ["rev_id"], {"q": (R.quoted(F.col("title")), "regexp_replace(title, '([^A-Za-z0-9_])', '\\\\\\1', 'g')")})
-_i, _h, _f = R.typed(F.concat(F.lit("n="), F.col("p_size"), F.lit(" x="), F.hex("p_partkey"), F.lit(" f="), F.col("p_size"), F.lit(".5")), r"n=(\d+) x=([0-9A-F]+) f=([0-9.]+)", ["int", "hex", "float"])
-columns("regex_typed", "part", ["p_partkey"], {"i": (_i, "p_size::BIGINT"), "h": (_h, "p_partkey"), "f": (_f, "p_size + 0.5::DOUBLE")})
+
+def X():
+    return F.col("text")
+
+
+def N():
+    return F.col("p_name")
+
+
+def B():
+    return F.col("p_brand")
+
+
+def H():
+    return F.col("html")
+
+
+columns("regex_full_match", "part", ["p_partkey"], {"ok": (lambda: R.full(B(), r"Brand#[1-9]\d?"), "regexp_full_match(p_brand, 'Brand#[1-9]\\d?')"), "part": (lambda: R.partial(B(), "#1"), "regexp_matches(p_brand, '#1')")})
+columns("regex_consume", "part", ["p_partkey"], {"rest": (lambda: R.consumed(B(), r"Brand#\d"), "CASE WHEN regexp_matches(p_brand, '^Brand#\\d') THEN substr(p_brand, length(regexp_extract(p_brand, '^Brand#\\d')) + 1) END")})
+columns("regex_extract_all", "documents", ["doc_id"], {"years": (lambda: R.found(X(), r"1[0-9]{3}"), "regexp_extract_all(text, '1[0-9]{3}')"), "n": (lambda: R.count(X(), r"1[0-9]{3}"), "len(regexp_extract_all(text, '1[0-9]{3}'))")})
+columns("regex_replace_first", "dump_pages", ["rev_id"], {"x": (lambda: R.replace_first(X(), "(the|a) ([a-z]+)", "<$2>"), "regexp_replace(text, '(the|a) ([a-z]+)', '<\\2>')")})
+columns("regex_global_replace", "dump_pages", ["rev_id"], {"x": (lambda: R.replace_all(X(), "(the|a) ([a-z]+)", "<$2>"), "regexp_replace(text, '(the|a) ([a-z]+)', '<\\2>', 'g')"), "n": (lambda: R.count(X(), "(the|a) ([a-z]+)"), "len(regexp_extract_all(text, '(the|a) ([a-z]+)'))")})
+columns("regex_rewrite", "documents", ["doc_id"], {"x": (lambda: R.extracted(X(), r"in ([0-9]{4}) ([a-z]+)", [2, ":", 1]), "CASE WHEN regexp_matches(text, 'in ([0-9]{4}) ([a-z]+)') THEN regexp_extract(text, 'in ([0-9]{4}) ([a-z]+)', 2) || ':' || regexp_extract(text, 'in ([0-9]{4}) ([a-z]+)', 1) END")})
+columns("regex_quote", "dump_pages", ["rev_id"], {"q": (lambda: R.quoted(F.col("title")), "regexp_replace(title, '([^A-Za-z0-9_])', '\\\\\\1', 'g')")})
+def _typed():
+    return R.typed(F.concat(F.lit("n="), F.col("p_size"), F.lit(" x="), F.hex("p_partkey"), F.lit(" f="), F.col("p_size"), F.lit(".5")), r"n=(\d+) x=([0-9A-F]+) f=([0-9.]+)", ["int", "hex", "float"])
+columns("regex_typed", "part", ["p_partkey"], {"i": (lambda: _typed()[0], "p_size::BIGINT"), "h": (lambda: _typed()[1], "p_partkey"), "f": (lambda: _typed()[2], "p_size + 0.5::DOUBLE")})
 _PATTERNS = [r"\bmoved\b", r"[0-9]{4}", r"(?i)the", "xyzzy"]
-columns("regex_set_match", "documents", ["doc_id"], {"ids": (R.matching_set(X, _PATTERNS), "list_filter([CASE WHEN regexp_matches(text, '\\bmoved\\b') THEN 0 END, CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 1 END, CASE WHEN regexp_matches(text, '(?i)the') THEN 2 END, CASE WHEN regexp_matches(text, 'xyzzy') THEN 3 END], lambda x: x IS NOT NULL)")}, where="text IS NOT NULL")
-columns("regex_filtered_set", "documents", ["doc_id"], {"ids": (R.filtered_set(X, [("moved", r"\bmoved\b"), ("19", "19[0-9]{2}")]), "list_filter([CASE WHEN regexp_matches(text, '\\bmoved\\b') THEN 0 END, CASE WHEN regexp_matches(text, '19[0-9]{2}') THEN 1 END], lambda x: x IS NOT NULL)")}, where="text IS NOT NULL")
+columns("regex_set_match", "documents", ["doc_id"], {"ids": (lambda: R.matching_set(X(), _PATTERNS), "list_filter([CASE WHEN regexp_matches(text, '\\bmoved\\b') THEN 0 END, CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 1 END, CASE WHEN regexp_matches(text, '(?i)the') THEN 2 END, CASE WHEN regexp_matches(text, 'xyzzy') THEN 3 END], lambda x: x IS NOT NULL)")}, where="text IS NOT NULL")
+columns("regex_filtered_set", "documents", ["doc_id"], {"ids": (lambda: R.filtered_set(X(), [("moved", r"\bmoved\b"), ("19", "19[0-9]{2}")]), "list_filter([CASE WHEN regexp_matches(text, '\\bmoved\\b') THEN 0 END, CASE WHEN regexp_matches(text, '19[0-9]{2}') THEN 1 END], lambda x: x IS NOT NULL)")}, where="text IS NOT NULL")
 
 
 @query("regex_range", "SELECT p_partkey, p_brand FROM part WHERE regexp_matches(p_brand, '^Brand#1[0-9]')")
@@ -33,15 +48,16 @@ def regex_range(spark, d):
 
 # ---------------------------------------------------------- XPath on XML strings
 
-_XML = F.concat(F.lit('<p k="'), F.col("p_partkey").cast("string"), F.lit('"><name>'), N, F.lit('</name><s u="cm">'), F.col("p_size").cast("string"), F.lit('</s><s u="in">2</s><t/></p>'))
+def _XML():
+    return F.concat(F.lit('<p k="'), F.col("p_partkey").cast("string"), F.lit('"><name>'), N(), F.lit('</name><s u="cm">'), F.col("p_size").cast("string"), F.lit('</s><s u="in">2</s><t/></p>'))
 
 
 def _xp(name, kind, path, sql):
-    return {name: (F.expr(f"{kind}(xml, \"{path}\")"), sql)}
+    return {name: (lambda: F.expr(f"{kind}(xml, \"{path}\")"), sql)}
 
 
 def _with_xml(df):
-    return df.withColumn("xml", _XML)
+    return df.withColumn("xml", _XML())
 
 
 columns("xpath_titles", "part", ["p_partkey"], {**_xp("name", "xpath_string", "p/name", "p_name"), **_xp("all", "xpath", "p/s/text()", "[p_size::VARCHAR, '2']")}, base=_with_xml)
@@ -89,24 +105,24 @@ def xml_paths(spark, d):
 
 # ---------------------------------------------------------- HTML
 
-_HTML = F.concat(
-    F.lit("<html><head><title>"), N, F.lit('</title><style>b{}</style></head><body><!-- c --><h1>'), B, F.lit("</h1><p>one <b>two<p>three<ul><li>"), F.col("p_type"), F.lit('<li>x</ul><h3>low</h3><a href="/p/'), F.col("p_partkey").cast("string"),
+def _HTML():
+    return F.concat(
+        F.lit("<html><head><title>"), N(), F.lit('</title><style>b{}</style></head><body><!-- c --><h1>'), B(), F.lit("</h1><p>one <b>two<p>three<ul><li>"), F.col("p_type"), F.lit('<li>x</ul><h3>low</h3><a href="/p/'), F.col("p_partkey").cast("string"),
     F.lit('">more</a><img src="a.png"><img src="b.png" alt="b"><center>c</center></body></html>'),
 )
 
 
 def _with_html(df):
-    return df.withColumn("html", _HTML)
+    return df.withColumn("html", _HTML())
 
 
-H = F.col("html")
-columns("html_title", "part", ["p_partkey"], {"t": (M.title(H), "p_name")}, base=_with_html)
-columns("html_links", "part", ["p_partkey"], {"hrefs": (M.links(H), "['/p/' || p_partkey]")}, base=_with_html)
-columns("html_comment_strip", "part", ["p_partkey"], {"n": (F.length(H) - F.length(M.without_comments(H)), "10")}, base=_with_html)
-columns("html_text", "part", ["p_partkey"], {"t": (M.text(H), "p_name || ' ' || p_brand || ' one two three ' || p_type || ' x low more c'")}, base=_with_html)
-columns("html_typography", "documents", ["doc_id"], {"t": (M.plain_typography(X), "translate(text, '“”„‘’–—' || chr(160), '\"\"\"''''-- ')")})
-columns("heading_nesting_audit", "part", ["p_partkey"], {"n": (M.skipped_headings(H), "1")}, base=_with_html)
-columns("img_alt_audit", "part", ["p_partkey"], {"n": (M.tag_count(H, "img", lacking="alt"), "1"), "ok": (M.tag_count(H, "img", having="alt"), "1")}, base=_with_html)
+columns("html_title", "part", ["p_partkey"], {"t": (lambda: M.title(H()), "p_name")}, base=_with_html)
+columns("html_links", "part", ["p_partkey"], {"hrefs": (lambda: M.links(H()), "['/p/' || p_partkey]")}, base=_with_html)
+columns("html_comment_strip", "part", ["p_partkey"], {"n": (lambda: F.length(H()) - F.length(M.without_comments(H())), "10")}, base=_with_html)
+columns("html_text", "part", ["p_partkey"], {"t": (lambda: M.text(H()), "p_name || ' ' || p_brand || ' one two three ' || p_type || ' x low more c'")}, base=_with_html)
+columns("html_typography", "documents", ["doc_id"], {"t": (lambda: M.plain_typography(X()), "translate(text, '“”„‘’–—' || chr(160), '\"\"\"''''-- ')")})
+columns("heading_nesting_audit", "part", ["p_partkey"], {"n": (lambda: M.skipped_headings(H()), "1")}, base=_with_html)
+columns("img_alt_audit", "part", ["p_partkey"], {"n": (lambda: M.tag_count(H(), "img", lacking="alt"), "1"), "ok": (lambda: M.tag_count(H(), "img", having="alt"), "1")}, base=_with_html)
 
 
 @query("html_audit", "SELECT p_partkey, 1 AS img_no_alt, 0 AS area_no_alt, 0 AS table_no_summary, 1 AS html_no_lang, 0 AS input_no_id, 0 AS frame_no_title, 0 AS scripts, 0 AS anchor_no_href, 1 AS deprecated, 1 AS skipped_headings, TRUE AS no_doctype FROM part")

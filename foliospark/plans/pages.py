@@ -11,12 +11,25 @@ from foliospark.sources import dumps
 from foliospark.sources.tables import table
 
 UP, LOW = S.UPPER, S.LOWER
-T, X, N = F.col("title"), F.col("text"), F.col("ns")
+
+
+def T():
+    return F.col("title")
+
+
+def X():
+    return F.col("text")
+
+
+def N():
+    return F.col("ns")
+
+
 _RAW_SQL = "'<page>' || chr(10) || '<title>' || coalesce(title, '') || '</title><ns>' || coalesce(ns::VARCHAR, '') || '</ns><revision><text xml:space=\"preserve\">' || coalesce(text, '') || '</text></revision></page>'"
 
 
 def _raw(df):
-    return df.withColumn("raw", F.concat(F.lit("<page>\n<title>"), F.coalesce(T, F.lit("")), F.lit("</title><ns>"), F.coalesce(N.cast("string"), F.lit("")), F.lit('</ns><revision><text xml:space="preserve">'), F.coalesce(X, F.lit("")), F.lit("</text></revision></page>")))
+    return df.withColumn("raw", F.concat(F.lit("<page>\n<title>"), F.coalesce(T(), F.lit("")), F.lit("</title><ns>"), F.coalesce(N().cast("string"), F.lit("")), F.lit('</ns><revision><text xml:space="preserve">'), F.coalesce(X(), F.lit("")), F.lit("</text></revision></page>")))
 
 
 _L = f"translate(text, '{UP}', '{LOW}')"
@@ -30,16 +43,16 @@ _FIX = "upper(left({0}, 1)) || substr({0}, 2)".format
 _TARGET = "trim(replace(regexp_extract(replace(text, '#', ''), '\\[\\[([^\\]|]+)', 1), '_', ' '), ' ')"
 
 columns("page_records", "dump_pages", ["rev_id"], {
-    "t": (P.title(F.col("raw")), "coalesce(title, '')"), "n": (P.namespace(F.col("raw")), "coalesce(ns, -10)"), "x": (P.body(F.col("raw")), "chr(10) || coalesce(text, '')"),
+    "t": (lambda: P.title(F.col("raw")), "coalesce(title, '')"), "n": (lambda: P.namespace(F.col("raw")), "coalesce(ns, -10)"), "x": (lambda: P.body(F.col("raw")), "chr(10) || coalesce(text, '')"),
 }, base=_raw)
-columns("namespace_extract", "dump_pages", ["rev_id"], {"n": (P.namespace(F.col("raw")), "coalesce(ns, -10)")}, base=_raw)
-columns("page_classify", "dump_pages", ["rev_id"], {"page_type": (P.page_type(T, N, X), _TYPE)})
-columns("disambig_flag", "dump_pages", ["rev_id"], {"flag": (P.is_disambiguation(X), _IS_DIS)})
-columns("listpage_titles", "dump_pages", ["rev_id"], {"flag": (P.is_list(T, X), _IS_LIST)})
-columns("crlf_normalise", "dump_pages", ["rev_id"], {"x": (P.line_feeds(X), "regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")})
-columns("presubstitute", "dump_pages", ["rev_id"], {"x": (P.substituted(X), "replace(replace(replace(replace(text, '&amp;nbsp;', ' '), '&amp;', '&'), '__NOTOC__', ''), '__TOC__', '')")})
-columns("comment_strip", "dump_pages", ["rev_id"], {"x": (P.without_comments(X), "regexp_replace(text, '&lt;!--(.|\\n)*?--&gt;', '', 'g')")})
-columns("redirect_resolve", "dump_pages", ["rev_id", "title"], {"target": (P.redirect_target(X), f"nullif({_FIX(_TARGET)}, '')")}, where="ns = 0 AND text IS NOT NULL", base=lambda df: df.where(P.is_redirect(X)), base_sql=f"(SELECT * FROM dump_pages WHERE {_REDIRECT})")
+columns("namespace_extract", "dump_pages", ["rev_id"], {"n": (lambda: P.namespace(F.col("raw")), "coalesce(ns, -10)")}, base=_raw)
+columns("page_classify", "dump_pages", ["rev_id"], {"page_type": (lambda: P.page_type(T(), N(), X()), _TYPE)})
+columns("disambig_flag", "dump_pages", ["rev_id"], {"flag": (lambda: P.is_disambiguation(X()), _IS_DIS)})
+columns("listpage_titles", "dump_pages", ["rev_id"], {"flag": (lambda: P.is_list(T(), X()), _IS_LIST)})
+columns("crlf_normalise", "dump_pages", ["rev_id"], {"x": (lambda: P.line_feeds(X()), "regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")})
+columns("presubstitute", "dump_pages", ["rev_id"], {"x": (lambda: P.substituted(X()), "replace(replace(replace(replace(text, '&amp;nbsp;', ' '), '&amp;', '&'), '__NOTOC__', ''), '__TOC__', '')")})
+columns("comment_strip", "dump_pages", ["rev_id"], {"x": (lambda: P.without_comments(X()), "regexp_replace(text, '&lt;!--(.|\\n)*?--&gt;', '', 'g')")})
+columns("redirect_resolve", "dump_pages", ["rev_id", "title"], {"target": (lambda: P.redirect_target(X()), f"nullif({_FIX(_TARGET)}, '')")}, where="ns = 0 AND text IS NOT NULL", base=lambda df: df.where(P.is_redirect(X())), base_sql=f"(SELECT * FROM dump_pages WHERE {_REDIRECT})")
 
 
 @query("page_split", f"SELECT rev_id, {_RAW_SQL} AS raw FROM dump_pages UNION ALL SELECT rev_id, {_RAW_SQL} FROM dump_pages")
@@ -50,7 +63,7 @@ def page_split(spark, d):
 
 
 def _typed(spark, d):
-    return table(spark, d, "dump_pages").withColumn("page_type", P.page_type(T, N, X)).withColumn("is_list", P.is_list(T, X))
+    return table(spark, d, "dump_pages").withColumn("page_type", P.page_type(T(), N(), X())).withColumn("is_list", P.is_list(T(), X()))
 
 
 _TYPED = f"(SELECT *, {_TYPE} AS page_type, {_IS_LIST} AS is_list FROM dump_pages)"
@@ -73,7 +86,7 @@ def title_list(spark, d):
 
 @query("redirect_list", f"SELECT DISTINCT title || chr(9) || chr(9) || '-->' || chr(9) || chr(9) || {_FIX(_TARGET)} AS line FROM {_TYPED} WHERE page_type = 'redirect' AND title IS NOT NULL AND {_TARGET} <> ''")
 def redirect_list(spark, d):
-    r = _typed(spark, d).where("page_type = 'redirect' AND title IS NOT NULL").select("title", P.redirect_target(X).alias("to"))
+    r = _typed(spark, d).where("page_type = 'redirect' AND title IS NOT NULL").select("title", P.redirect_target(X()).alias("to"))
     return r.where("to IS NOT NULL").select(F.concat("title", F.lit("\t\t-->\t\t"), "to").alias("line")).distinct()
 
 

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def columns(name: str, source: str, keys: list[str], cols: dict, where: str | None = None, base=None, base_sql: str | None = None) -> None:
-    """A query of key columns and computed columns over a whole table: {alias: (Spark column, SQL expression)}."""
+    """A query of key columns and computed columns over a whole table: {alias: (function that gives the Spark column, SQL expression)}."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         df = table(spark, d, source)
@@ -35,7 +35,7 @@ def columns(name: str, source: str, keys: list[str], cols: dict, where: str | No
             df = df.where(where)
         if base:
             df = base(df)
-        return df.select(*keys, *(c.alias(a) for a, (c, _) in cols.items()))
+        return df.select(*keys, *(c().alias(a) for a, (c, _) in cols.items()))
 
     sql = f"SELECT {', '.join(keys)}, " + ", ".join(f"{e} AS {a}" for a, (_, e) in cols.items()) + f" FROM {base_sql or source}"
     QUERIES[name] = run

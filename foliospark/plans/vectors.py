@@ -8,8 +8,15 @@ from foliospark.functions import vectors as V
 from foliospark.plans.registry import columns, query
 from foliospark.sources.tables import table
 
-A = F.col("a")
-B = F.col("b")
+
+def A():
+    return F.col("a")
+
+
+def B():
+    return F.col("b")
+
+
 _BASE = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS a, list_reverse(list_transform(embedding, lambda x: x::DOUBLE)) AS b, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS w FROM embeddings)"
 
 
@@ -35,27 +42,27 @@ def _list(c):
 
 
 _SUM, _SQ, _NORM = "list_sum(a)", "list_dot_product(a, a)", "sqrt(list_dot_product(a, a))"
-vec("vec_sums", {"s": (_r(V.total(A)), f"round({_SUM}, 6) + 0.0"), "m": (_r(V.mean(A)), "round(list_avg(a), 6) + 0.0"), "var": (_r(V.variance(A)), "round(list_var_pop(a), 6) + 0.0"), "sd": (_r(F.sqrt(V.variance(A))), "round(list_stddev_pop(a), 6) + 0.0")})
-vec("vec_norm", {"sq": (_r(V.squares(A)), f"round({_SQ}, 6)"), "n": (_r(V.norm(A)), f"round({_NORM}, 6)"), "unit": (_rounded(V.normalized(A)), _list(f"list_transform(a, lambda x: x / {_NORM})")), "share": (_rounded(V.normalized_sum(F.col("w"))), _list("list_transform(w, lambda x: x / list_sum(w))"))})
-vec("vec_weighted", {"ws": (_r(V.weighted_sum(A, F.col("w"))), "round(list_dot_product(a, w), 6) + 0.0"), "wsq": (_r(V.weighted_squares(A, F.col("w"))), "round(list_sum(list_transform(list_zip(a, w), lambda p: p[1] * p[1] * p[2])), 6) + 0.0")})
-vec("vec_extremes", {"lo": (_r(F.array_min(A)), "round(list_min(a), 6) + 0.0"), "hi": (_r(F.array_max(A)), "round(list_max(a), 6) + 0.0"), "at_lo": (V.position_of_min(A), "list_position(a, list_min(a)) - 1"), "at_hi": (V.position_of_max(A), "list_position(a, list_max(a)) - 1")})
-vec("vec_cosine", {"c": (_r(V.cosine(A, B)), "round(list_cosine_similarity(a, b), 6) + 0.0"), "d": (_r(V.dot(A, B)), "round(list_dot_product(a, b), 6) + 0.0"), "p": (_r(V.direct_product(A, B, 0.5)), f"round(sqrt({_NORM} * {_NORM}) * list_cosine_similarity(a, b), 6) + 0.0")})
-vec("vec_euclid", {"d": (_r(V.distance(A, B)), "round(list_distance(a, b), 6)"), "sq": (_r(V.squared_distance(A, B)), "round(list_sum(list_transform(list_zip(a, b), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6)"), "rms": (_r(V.root_mean_square(A, B)), "round(list_distance(a, b) / sqrt(len(a)), 6)")})
-vec("vec_shift", {"s": (_r(V.shifted_dot(A, B, 3)), "round(list_dot_product(list_slice(a, 4, len(a)), list_slice(b, 1, len(b) - 3)), 6) + 0.0")})
-vec("convolve", {"c": (_rounded(V.convolve(F.slice("a", 1, 5), F.slice("b", 1, 3))), _list("list_transform(range(0, 7), lambda k: list_sum(list_transform(range(greatest(0, k - 2), least(k, 4) + 1), lambda i: a[i + 1] * b[k - i + 1])))"))})
-vec("vec_orthogonal", {"ma": (_rounded(V.multiply_add(A, B, 0.5)), _list("list_transform(list_zip(a, b), lambda p: p[1] + 0.5 * p[2])")), "o": (_rounded(V.orthogonal(A, B)), _list("list_transform(list_zip(a, b), lambda p: p[1] - list_dot_product(a, b) / list_dot_product(b, b) * p[2])"))})
-vec("vec_entropy", {"e": (_r(V.entropy(F.col("w"))), "round(-list_sum(list_transform(list_filter(w, lambda x: x > 0), lambda x: x / list_sum(w) * ln(x / list_sum(w)))), 6)"), "n": (_r(V.states(F.col("w"))), "round(exp(-list_sum(list_transform(list_filter(w, lambda x: x > 0), lambda x: x / list_sum(w) * ln(x / list_sum(w))))), 6)")})
-vec("vec_running", {"r": (_rounded(V.running(A)), _list("list_transform(range(1, len(a) + 1), lambda i: list_sum(list_slice(a, 1, i)))"))})
-vec("interpolate", {"v": (_r(V.interpolated(A, 2.25)), "round(a[3] + (a[4] - a[3]) * 0.25, 6) + 0.0"), "low": (_r(V.interpolated(A, -3.0)), "round(a[1], 6) + 0.0"), "idx": (_r(V.real_index(F.array_sort(A), 0.01)), "round(CASE WHEN len(list_filter(a, lambda x: x <= 0.01)) = 0 THEN 0 WHEN len(list_filter(a, lambda x: x <= 0.01)) = len(a) THEN len(a) - 1 ELSE len(list_filter(a, lambda x: x <= 0.01)) - 1 + (0.01 - list_sort(a)[len(list_filter(a, lambda x: x <= 0.01))]) / (list_sort(a)[len(list_filter(a, lambda x: x <= 0.01)) + 1] - list_sort(a)[len(list_filter(a, lambda x: x <= 0.01))]) END, 6) + 0.0")})
-vec("sort_permutation", {"p": (V.sort_permutation(A), "list_transform(list_sort(list_transform(range(1, len(a) + 1), lambda i: {'x': a[i], 'i': i})), lambda s: s.i - 1)"), "inv": (V.inverse_permutation(V.sort_permutation(A)), "list_transform(range(0, len(a)), lambda j: list_position(list_transform(list_sort(list_transform(range(1, len(a) + 1), lambda i: {'x': a[i], 'i': i})), lambda s: s.i - 1), j) - 1)"), "d": (_rounded(F.sort_array(A, asc=False)), _list("list_reverse_sort(a)"))})
-vec("vec_select", {"g": (_rounded(V.gather(A, F.array(F.lit(3), F.lit(0), F.lit(3)))), _list("[a[4], a[1], a[4]]")), "closest": (V.closest(A, 0.0), "list_position(list_transform(a, lambda x: abs(x)), list_min(list_transform(a, lambda x: abs(x)))) - 1"), "at": (V.position_of(A, F.get(A, F.lit(4))), "list_position(a, a[5]) - 1"), "n": (V.count_of(F.transform(A, lambda x: F.floor(x)), F.lit(0).cast("bigint")), "len(list_filter(a, lambda x: floor(x) = 0))"), "nz": (V.nonzero(A), "len(list_filter(a, lambda x: x <> 0))"), "has": (F.array_contains(A, F.get(A, F.lit(1))), "list_contains(a, a[2])")})
-vec("vec_cut", {"removed": (_rounded(F.array_remove(A, F.get(A, F.lit(2)))), _list("list_filter(a, lambda x: x <> a[3])")), "dec": (_rounded(V.decimate(A, 4)), _list("list_filter(a, lambda x, i: (i - 1) % 4 = 0)")), "rev": (_rounded(F.reverse(A)), _list("list_reverse(a)")), "first": (_rounded(F.slice("a", 1, 3)), _list("a[1:3]")), "last": (_rounded(F.slice("a", -3, 3)), _list("a[-3:]")), "glued": (F.size(F.concat(A, B)).cast("bigint"), "len(a || b)")})
-vec("vec_elementwise", {"sum": (_rounded(F.zip_with(A, B, lambda x, y: x + y)), _list("list_transform(list_zip(a, b), lambda p: p[1] + p[2])")), "prod": (_rounded(F.zip_with(A, B, lambda x, y: x * y)), _list("list_transform(list_zip(a, b), lambda p: p[1] * p[2])")), "scaled": (_rounded(F.transform(A, lambda x: x * 2 - 1)), _list("list_transform(a, lambda x: x * 2 - 1)")), "roots": (_rounded(F.transform("w", lambda x: F.sqrt(x))), _list("list_transform(w, lambda x: sqrt(x))")), "exps": (_rounded(F.transform(A, lambda x: F.exp(x))), _list("list_transform(a, lambda x: exp(x))")), "sign": (V.sign(A), "list_transform(a, lambda x: CASE WHEN x < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END)"), "clamped": (_rounded(V.clamp(A, -0.05, 0.05)), _list("list_transform(a, lambda x: least(greatest(x, -0.05), 0.05))")), "up": (F.transform(A, lambda x: F.ceil(x).cast("bigint")), "list_transform(a, lambda x: ceil(x)::BIGINT)")})
-vec("vec_shape", {"inc": (V.starts_increasing(A), "a[2] > a[1]"), "signed": (F.exists(A, lambda x: x < 0), "list_min(a) < 0"), "iota": (F.transform(A, lambda x, i: i.cast("bigint")), "range(0, len(a))"), "lin": (_rounded(V.linspace(0.0, 1.0, 5)), "[0.0::DOUBLE, 0.25, 0.5, 0.75, 1.0]"), "ints": (F.transform(A, lambda x: (x * 1000).cast("bigint")), "list_transform(a, lambda x: trunc(x * 1000)::BIGINT)")})
+vec("vec_sums", {"s": (lambda: _r(V.total(A())), f"round({_SUM}, 6) + 0.0"), "m": (lambda: _r(V.mean(A())), "round(list_avg(a), 6) + 0.0"), "var": (lambda: _r(V.variance(A())), "round(list_var_pop(a), 6) + 0.0"), "sd": (lambda: _r(F.sqrt(V.variance(A()))), "round(list_stddev_pop(a), 6) + 0.0")})
+vec("vec_norm", {"sq": (lambda: _r(V.squares(A())), f"round({_SQ}, 6)"), "n": (lambda: _r(V.norm(A())), f"round({_NORM}, 6)"), "unit": (lambda: _rounded(V.normalized(A())), _list(f"list_transform(a, lambda x: x / {_NORM})")), "share": (lambda: _rounded(V.normalized_sum(F.col("w"))), _list("list_transform(w, lambda x: x / list_sum(w))"))})
+vec("vec_weighted", {"ws": (lambda: _r(V.weighted_sum(A(), F.col("w"))), "round(list_dot_product(a, w), 6) + 0.0"), "wsq": (lambda: _r(V.weighted_squares(A(), F.col("w"))), "round(list_sum(list_transform(list_zip(a, w), lambda p: p[1] * p[1] * p[2])), 6) + 0.0")})
+vec("vec_extremes", {"lo": (lambda: _r(F.array_min(A())), "round(list_min(a), 6) + 0.0"), "hi": (lambda: _r(F.array_max(A())), "round(list_max(a), 6) + 0.0"), "at_lo": (lambda: V.position_of_min(A()), "list_position(a, list_min(a)) - 1"), "at_hi": (lambda: V.position_of_max(A()), "list_position(a, list_max(a)) - 1")})
+vec("vec_cosine", {"c": (lambda: _r(V.cosine(A(), B())), "round(list_cosine_similarity(a, b), 6) + 0.0"), "d": (lambda: _r(V.dot(A(), B())), "round(list_dot_product(a, b), 6) + 0.0"), "p": (lambda: _r(V.direct_product(A(), B(), 0.5)), f"round(sqrt({_NORM} * {_NORM}) * list_cosine_similarity(a, b), 6) + 0.0")})
+vec("vec_euclid", {"d": (lambda: _r(V.distance(A(), B())), "round(list_distance(a, b), 6)"), "sq": (lambda: _r(V.squared_distance(A(), B())), "round(list_sum(list_transform(list_zip(a, b), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6)"), "rms": (lambda: _r(V.root_mean_square(A(), B())), "round(list_distance(a, b) / sqrt(len(a)), 6)")})
+vec("vec_shift", {"s": (lambda: _r(V.shifted_dot(A(), B(), 3)), "round(list_dot_product(list_slice(a, 4, len(a)), list_slice(b, 1, len(b) - 3)), 6) + 0.0")})
+vec("convolve", {"c": (lambda: _rounded(V.convolve(F.slice("a", 1, 5), F.slice("b", 1, 3))), _list("list_transform(range(0, 7), lambda k: list_sum(list_transform(range(greatest(0, k - 2), least(k, 4) + 1), lambda i: a[i + 1] * b[k - i + 1])))"))})
+vec("vec_orthogonal", {"ma": (lambda: _rounded(V.multiply_add(A(), B(), 0.5)), _list("list_transform(list_zip(a, b), lambda p: p[1] + 0.5 * p[2])")), "o": (lambda: _rounded(V.orthogonal(A(), B())), _list("list_transform(list_zip(a, b), lambda p: p[1] - list_dot_product(a, b) / list_dot_product(b, b) * p[2])"))})
+vec("vec_entropy", {"e": (lambda: _r(V.entropy(F.col("w"))), "round(-list_sum(list_transform(list_filter(w, lambda x: x > 0), lambda x: x / list_sum(w) * ln(x / list_sum(w)))), 6)"), "n": (lambda: _r(V.states(F.col("w"))), "round(exp(-list_sum(list_transform(list_filter(w, lambda x: x > 0), lambda x: x / list_sum(w) * ln(x / list_sum(w))))), 6)")})
+vec("vec_running", {"r": (lambda: _rounded(V.running(A())), _list("list_transform(range(1, len(a) + 1), lambda i: list_sum(list_slice(a, 1, i)))"))})
+vec("interpolate", {"v": (lambda: _r(V.interpolated(A(), 2.25)), "round(a[3] + (a[4] - a[3]) * 0.25, 6) + 0.0"), "low": (lambda: _r(V.interpolated(A(), -3.0)), "round(a[1], 6) + 0.0"), "idx": (lambda: _r(V.real_index(F.array_sort(A()), 0.01)), "round(CASE WHEN len(list_filter(a, lambda x: x <= 0.01)) = 0 THEN 0 WHEN len(list_filter(a, lambda x: x <= 0.01)) = len(a) THEN len(a) - 1 ELSE len(list_filter(a, lambda x: x <= 0.01)) - 1 + (0.01 - list_sort(a)[len(list_filter(a, lambda x: x <= 0.01))]) / (list_sort(a)[len(list_filter(a, lambda x: x <= 0.01)) + 1] - list_sort(a)[len(list_filter(a, lambda x: x <= 0.01))]) END, 6) + 0.0")})
+vec("sort_permutation", {"p": (lambda: V.sort_permutation(A()), "list_transform(list_sort(list_transform(range(1, len(a) + 1), lambda i: {'x': a[i], 'i': i})), lambda s: s.i - 1)"), "inv": (lambda: V.inverse_permutation(V.sort_permutation(A())), "list_transform(range(0, len(a)), lambda j: list_position(list_transform(list_sort(list_transform(range(1, len(a) + 1), lambda i: {'x': a[i], 'i': i})), lambda s: s.i - 1), j) - 1)"), "d": (lambda: _rounded(F.sort_array(A(), asc=False)), _list("list_reverse_sort(a)"))})
+vec("vec_select", {"g": (lambda: _rounded(V.gather(A(), F.array(F.lit(3), F.lit(0), F.lit(3)))), _list("[a[4], a[1], a[4]]")), "closest": (lambda: V.closest(A(), 0.0), "list_position(list_transform(a, lambda x: abs(x)), list_min(list_transform(a, lambda x: abs(x)))) - 1"), "at": (lambda: V.position_of(A(), F.get(A(), F.lit(4))), "list_position(a, a[5]) - 1"), "n": (lambda: V.count_of(F.transform(A(), lambda x: F.floor(x)), F.lit(0).cast("bigint")), "len(list_filter(a, lambda x: floor(x) = 0))"), "nz": (lambda: V.nonzero(A()), "len(list_filter(a, lambda x: x <> 0))"), "has": (lambda: F.array_contains(A(), F.get(A(), F.lit(1))), "list_contains(a, a[2])")})
+vec("vec_cut", {"removed": (lambda: _rounded(F.array_remove(A(), F.get(A(), F.lit(2)))), _list("list_filter(a, lambda x: x <> a[3])")), "dec": (lambda: _rounded(V.decimate(A(), 4)), _list("list_filter(a, lambda x, i: (i - 1) % 4 = 0)")), "rev": (lambda: _rounded(F.reverse(A())), _list("list_reverse(a)")), "first": (lambda: _rounded(F.slice("a", 1, 3)), _list("a[1:3]")), "last": (lambda: _rounded(F.slice("a", -3, 3)), _list("a[-3:]")), "glued": (lambda: F.size(F.concat(A(), B())).cast("bigint"), "len(a || b)")})
+vec("vec_elementwise", {"sum": (lambda: _rounded(F.zip_with(A(), B(), lambda x, y: x + y)), _list("list_transform(list_zip(a, b), lambda p: p[1] + p[2])")), "prod": (lambda: _rounded(F.zip_with(A(), B(), lambda x, y: x * y)), _list("list_transform(list_zip(a, b), lambda p: p[1] * p[2])")), "scaled": (lambda: _rounded(F.transform(A(), lambda x: x * 2 - 1)), _list("list_transform(a, lambda x: x * 2 - 1)")), "roots": (lambda: _rounded(F.transform("w", lambda x: F.sqrt(x))), _list("list_transform(w, lambda x: sqrt(x))")), "exps": (lambda: _rounded(F.transform(A(), lambda x: F.exp(x))), _list("list_transform(a, lambda x: exp(x))")), "sign": (lambda: V.sign(A()), "list_transform(a, lambda x: CASE WHEN x < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END)"), "clamped": (lambda: _rounded(V.clamp(A(), -0.05, 0.05)), _list("list_transform(a, lambda x: least(greatest(x, -0.05), 0.05))")), "up": (lambda: F.transform(A(), lambda x: F.ceil(x).cast("bigint")), "list_transform(a, lambda x: ceil(x)::BIGINT)")})
+vec("vec_shape", {"inc": (lambda: V.starts_increasing(A()), "a[2] > a[1]"), "signed": (lambda: F.exists(A(), lambda x: x < 0), "list_min(a) < 0"), "iota": (lambda: F.transform(A(), lambda x, i: i.cast("bigint")), "range(0, len(a))"), "lin": (lambda: _rounded(V.linspace(0.0, 1.0, 5)), "[0.0::DOUBLE, 0.25, 0.5, 0.75, 1.0]"), "ints": (lambda: F.transform(A(), lambda x: (x * 1000).cast("bigint")), "list_transform(a, lambda x: trunc(x * 1000)::BIGINT)")})
 
 columns("width_bucket", "lineitem", ["l_orderkey", "l_linenumber"], {
-    "b": (V.bin_of(F.col("l_quantity"), 1.0, 50.0, 7), "CASE WHEN l_quantity >= 1 AND l_quantity < 50 THEN floor((l_quantity - 1) / 7.0)::BIGINT ELSE -1 END"),
-    "edge": (V.clamped_bin(F.col("l_quantity"), 1.0, 50.0, 7), "CASE WHEN l_quantity >= 1 AND l_quantity <= 50 THEN least(floor((l_quantity - 1) / 7.0), 6)::BIGINT ELSE -1 END"),
+    "b": (lambda: V.bin_of(F.col("l_quantity"), 1.0, 50.0, 7), "CASE WHEN l_quantity >= 1 AND l_quantity < 50 THEN floor((l_quantity - 1) / 7.0)::BIGINT ELSE -1 END"),
+    "edge": (lambda: V.clamped_bin(F.col("l_quantity"), 1.0, 50.0, 7), "CASE WHEN l_quantity >= 1 AND l_quantity <= 50 THEN least(floor((l_quantity - 1) / 7.0), 6)::BIGINT ELSE -1 END"),
 })
 
 

@@ -1,0 +1 @@
+"""Pages as a stream."""
