@@ -37,10 +37,38 @@ def unescape_once(text: str) -> str:
     )
 
 
+_START = re.compile(
+    r"<!--|<(?P<tag>nowiki|pre|code|syntaxhighlight|source|math|script|style)\b|^[ ]{0,3}(?P<fence>```+|~~~+)|\\begin\{(?P<env>[a-z]+\*?)\}|\\(?P<math>[(\[])|\\[\\$%&#_{}]|\$|^%[ \t]|`",
+    re.M | re.I,
+)
+_EMPTY_TAG = re.compile(r"<(?P<tag>\w+)\b[^>]*/>(?P<fence>)?(?P<env>)?", re.I)
+
+
+def _opaque(text: str):
+    """Matches of OPAQUE from left to right. An opener that has no closer is looked for once per kind, so time is linear in the text."""
+    at, dead, last = 0, set(), text.rfind(">")
+    while m := _START.search(text, at):
+        start = m.start()
+        key = (m["tag"] or m["env"] or m["math"] or m["fence"] or "").lower()
+        if m["tag"] and start > last:
+            found = None
+        elif key in dead:
+            found = _EMPTY_TAG.match(text, start) if m["tag"] else None
+        else:
+            found = OPAQUE.match(text, start)
+            if found is None and key:
+                dead.add(key)
+        if found is None:
+            at = start + 1
+        else:
+            yield found
+            at = max(found.end(), start + 1)
+
+
 def opaque_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the opaque spans; kind is comment, code, formula or other."""
     out = []
-    for m in OPAQUE.finditer(text):
+    for m in _opaque(text):
         start, end = m.span()
         tag, env = m["tag"], m["env"]
         if tag:
