@@ -1,13 +1,17 @@
 """Markup residue to clean text, keeping headings, list items, code and formulas.
 
 Pages mix wikitext, HTML, Markdown and LaTeX, and one line sign can mean two
-things: `# x` is a list item in wikitext and a heading in Markdown. The role of
-such signs is not written down here but inferred: blocks of the same host
-dialect are turned into token streams and aligned one after the other into a
-union-free expression (text slots, optional groups, repeated groups). A sign
-that the wrapper of a dialect repeats is an item, one that stands once before a
-slot is a heading. Ambiguous blocks are then read by the wrapper that accepts
-them.
+things: `# x` is a list item in wikitext and a heading in Markdown. What a
+marker means is not written down here but inferred from all pages: the blocks
+of one host dialect become token streams (one token per line sign or tag, a
+slot for text), which are folded (tandem repeats become groups), counted, and
+aligned one after the other into a union-free expression with text slots,
+optional groups and repeated groups: the host's wrapper. A marker that stands in
+repeated groups more often than alone opens items, one that stands alone before
+a slot opens headings. `#` blocks in regions without the signs of a dialect are
+read by the host whose wrapper accepts their stream.
+
+Code blocks and formulas are opaque spans (see the lexer) and no part of it.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from foliospark.functions.arrow import map_rows
+from foliospark.functions.stage import written
 from foliospark.wikitext.lexer import calls, headings, masked, opaque_spans, unescape_once
 
 # ---------------------------------------------------------------- wrappers
@@ -90,8 +95,21 @@ def _blocks(region: str) -> list[tuple[int, str]]:
     return [(m.start(), m[0]) for m in re.finditer(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*", region)]
 
 
+#: One token per line: e = headed =, s star, h hash, d definition signs, m dash, n number, I and S LaTeX, L and H tags, T text.
+_TOKEN = re.compile(
+    r"^\x01*(?P<e>={2,}[^\n]*[^=\s\x01][^\n]*={2,}[ \t\r\x01]*$)|^\x01*(?P<s>\*+)|^\x01*(?P<h>#+)(?!redirect\b)|^\x01*(?P<d>[:;]+)"
+    r"|^[ \t]*(?:> ?)*[ \t]*(?:(?P<m>[-+])|(?P<n>\d{1,3}[.)]))[ \t]+(?=\S)"
+    r"|(?:^[ \t]*)?(?:(?P<L><li\b)|(?P<H><h[1-6]\b)|(?P<I>\\item\b)|(?P<S>\\(?:part|chapter|section|subsection|subsubsection|paragraph)\b))"
+    r"|^(?P<T>(?=[^\n]*\S)(?:(?!<li\b|<h[1-6]\b|\\item\b|\\(?:sub)*section\b)[^\n])+)",
+    re.M | re.I,
+)
+#: What a marker usually opens counts as so many pages that show it; more pages outvote it, at any size of the corpus.
+PRIOR = 4
+_USUAL = {**dict.fromkeys("sdmnLI", "item"), **dict.fromkeys("eHSu", "heading")}
+
+
 def _stream(block: str) -> str:
-    return "".join("h" if _HASH.match(line) else "s" if line.lstrip("\x01")[:1] == "*" else "T" for line in block.split("\n"))
+    return "".join(m.lastgroup for m in _TOKEN.finditer(block))
 
 
 def _regions(mask: str, heads: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -99,27 +117,43 @@ def _regions(mask: str, heads: list[tuple[int, int, int]]) -> list[tuple[int, in
     return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
-def shapes(text: str | None) -> set[tuple[str, str]]:
-    """(host dialect, block stream with runs cut to two) of the blocks with '#' lines in unescaped text."""
+def _host(stream: str, region: str) -> str:
+    """The dialect of a block: by tags and commands, else by the signs of its region."""
+    return "html" if "L" in stream or "H" in stream else "latex" if "I" in stream or "S" in stream else dialect(region)
+
+
+def shapes(mask: str, heads: list[tuple[int, int, int]]) -> set[tuple[str, str]]:
+    """(host dialect, block stream with runs cut to two) of the blocks with markers in masked text."""
     out: set[tuple[str, str]] = set()
-    if not text or not _HASH.search(text):
-        return out
-    mask = masked(text, opaque_spans(text))
-    for a, b in _regions(mask, headings(mask)):
+    for a, b in [(s, e) for s, e, _ in heads] + _regions(mask, heads):
         region = mask[a:b]
-        if _HASH.search(region) and (host := dialect(region)) != "unknown":
-            out.update((host, re.sub(r"(.)\1+", r"\1\1", s)) for _, block in _blocks(region) if "h" in (s := _stream(block)))
+        for _, block in _blocks(region):
+            stream = _stream(block)
+            if stream.strip("T"):
+                host = _host(stream, region)
+                if host != "unknown" or "h" not in stream:
+                    out.add((host, re.sub(r"(.)\1+", r"\1\1", stream)))
     return out
 
 
 class Wrappers:
-    """The wrapper of each host dialect and how often its pages show each shape. Dialects without a page keep their usual form."""
+    """The wrapper of each host dialect, how often its pages show each shape, and what its markers open. Dialects without a page keep their usual form."""
 
     def __init__(self, counts: dict[str, dict[tuple[str, ...], int]]):
         usual = {"wiki": {("(h)+",): 1}, "markdown": {("h",): 1}}
-        self.counts = {host: counts.get(host) or usual[host] for host in usual}
-        self.wrapper = {host: induce(c) for host, c in self.counts.items()}
-        self.total = {host: sum(c.values()) for host, c in self.counts.items()}
+        self.counts = {host: counts.get(host) or usual[host] for host in usual} | {h: c for h, c in counts.items() if h not in usual}
+        self.wrapper = {host: induce({k: n for k, n in c.items() if host not in usual or "h" in map(_core, k)} or usual.get(host, {})) for host, c in self.counts.items()}
+        self.total = {host: max(1, sum(n for k, n in c.items() if "h" in map(_core, k))) for host, c in self.counts.items()}
+        self.role = dict(_USUAL)
+        repeated: dict[str, int] = {x: PRIOR if kind == "item" else -PRIOR for x, kind in _USUAL.items()} | {"h wiki": PRIOR, "h markdown": -PRIOR}
+        for host, c in self.counts.items():
+            for shape, n in c.items():
+                for node in shape:
+                    key = _core(node) if _core(node) != "h" else f"h {host}"
+                    repeated[key] = repeated.get(key, 0) + (n if "+" in node else -n)
+        for key, n in repeated.items():
+            if key != "T":
+                self.role[key] = "item" if n > 0 else "heading"
 
     def host(self, stream: str) -> str | None:
         """The host whose wrapper covers a stream; of two, the one that shows its shape more often, for its size."""
@@ -127,6 +161,16 @@ class Wrappers:
         shape = fold(stream)
         return max(fits, key=lambda h: self.counts[h].get(shape, 0) / self.total[h], default=None)
 
+    def kind(self, letter: str, stream: str | None) -> str:
+        """What a marker opens; for hash lines `stream` is their block's, and `letter` says the region's dialect (w, k or q for none)."""
+        if letter in "wkq":
+            host = {"w": "wiki", "k": "markdown"}.get(letter) or self.host(stream)
+            return self.role.get(f"h {host}", "item")
+        return _KIND_OF.get(letter) or self.role[letter]
+
+
+_KIND_OF = {"c": "code", "f": "formula", "i": "item"}
+
 
 # ---------------------------------------------------------------- units
 
@@ -141,49 +185,73 @@ _TAG_HEADING = re.compile(r"<h[1-6]\b[^>]*>|\\(?:part|chapter|section|subsection
 _SETEXT = re.compile(r"(?:\A|\n[ \t]*\n|\A\n)[ ]{0,3}(?=[^\s\-=|#>*])([^\n]+)\n[ ]{0,3}(?:={2,}|-{2,})[ \t]*(?=\n|\Z)")
 
 
-def units(text: str, wrappers: Wrappers) -> list[tuple[int, str]]:
-    """(start, kind) of the structural units of unescaped text in order of their first character."""
-    spans = opaque_spans(text)
-    out = [(start, kind) for start, _, kind in spans if kind == "code" or kind == "formula"]
-    mask = masked(text, spans)
-    heads = headings(mask)
-    out += [(start, "heading") for start, _, _ in heads]
+_LETTERS = {"*": "s", ":": "d", ";": "d", "-": "m", "+": "m", "\\": "I", "<": "L"}
+
+
+def marks(mask: str, spans: list[tuple[int, int, str]], heads: list[tuple[int, int, int]]) -> list[tuple[int, str, str | None]]:
+    """(start, marker letter, block stream of an undecided hash line) in order of the first character."""
+    out: list[tuple[int, str, str | None]] = [(start, kind[0], None) for start, _, kind in spans if kind == "code" or kind == "formula"]
+    out += [(start, "e", None) for start, _, _ in heads]
     if "<" in mask or "\\" in mask:
-        out += [(m.start(), "heading") for m in _TAG_HEADING.finditer(mask)]
+        out += [(m.start(), "H" if m[0][0] == "<" else "S", None) for m in _TAG_HEADING.finditer(mask)]
     if "\n==" in mask or "\n--" in mask:
-        out += [(m.start(1), "heading") for m in _SETEXT.finditer(mask)]
-    out += [(m.start(), "item") for m in _ITEM.finditer(mask)]
+        out += [(m.start(1), "u", None) for m in _SETEXT.finditer(mask)]
+    for m in _ITEM.finditer(mask):
+        sign = m[0].lstrip("\x01 \t>")[:1]
+        out.append((m.start(), _LETTERS.get(sign, "n"), None))
     if "#" in mask and _HASH.search(mask):
         for a, b in _regions(mask, heads):
             region = mask[a:b]
             if "#" not in region:
                 continue
-            host = dialect(region)
+            host = {"wiki": "w", "markdown": "k"}.get(dialect(region), "q")
             for at, block in _blocks(region):
-                stream = _stream(block)
-                if "h" not in stream:
+                if "#" not in block or "h" not in (stream := _stream(block)):
                     continue
-                heading = (wrappers.host(stream) if host == "unknown" else host) == "markdown"
                 for m in _HASH.finditer(block):
                     rest = block[m.end() : m.end() + 1]
                     if rest not in ("", "\n"):
-                        out.append((a + at + m.start(), "heading" if heading and rest in " \t" else "item"))
-    out.sort()
+                        out.append((a + at + m.start(), host if rest in " \t" else "i", stream if host == "q" else None))
+    out.sort(key=lambda x: x[0])
     return out
 
 
-def _wrappers(pages: DataFrame) -> Wrappers:
-    """Wrappers from all pages; each shape counts once per revision. Only distinct shapes reach the driver."""
+def units(text: str, wrappers: Wrappers) -> list[tuple[int, str]]:
+    """(start, kind) of the structural units of unescaped text in order of their first character."""
+    spans = opaque_spans(text)
+    mask = masked(text, spans)
+    return [(start, wrappers.kind(letter, stream)) for start, letter, stream in marks(mask, spans, headings(mask))]
+
+
+def _mark_batch(b: pa.RecordBatch) -> pa.RecordBatch:
+    letters, streams, seen = [], [], []
+    for text in b.column("text").to_pylist():
+        text = unescape_once(text)
+        spans = opaque_spans(text)
+        mask = masked(text, spans)
+        heads = headings(mask)
+        found = marks(mask, spans, heads)
+        letters.append("".join(x for _, x, _ in found))
+        streams.append([s for _, x, s in found if x == "q"])
+        seen.append([f"{h} {x}" for h, x in sorted(shapes(mask, heads))] if found else [])
+    cols = [b.column("rev_id"), pa.array(letters, pa.string()), pa.array(streams, pa.list_(pa.string())), pa.array(seen, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(cols, ["rev_id", "letters", "streams", "shapes"])
+
+
+def marked_pages(pages: DataFrame) -> DataFrame:
+    """rev_id, letters (one per marker), streams (of undecided hash lines), shapes: all texts lexed once, written to the shared folder."""
+    texts = pages.where(F.length("text") > 0).select(F.col("rev_id").cast("long").alias("rev_id"), "text")
+    return written(map_rows(texts, _mark_batch, "rev_id BIGINT, letters STRING, streams ARRAY<STRING>, shapes ARRAY<STRING>"), "markers")
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(rev, *x) for rev, t in zip(b.column("rev_id").to_pylist(), b.column("text").to_pylist()) for x in sorted(shapes(unescape_once(t)))]
-        cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
-        return pa.RecordBatch.from_arrays(cols, ["rev_id", "host", "shape"])
 
-    seen = map_rows(pages.select("rev_id", "text").where(F.col("text").contains("#")), batch, "rev_id BIGINT, host STRING, shape STRING")
+def inferred(marked: DataFrame) -> Wrappers:
+    """Wrappers from all pages; each shape counts once per revision. Only distinct shapes and their counts reach the driver."""
     counts: dict[str, dict[tuple[str, ...], int]] = {}
-    for row in seen.distinct().groupBy("host", "shape").count().collect():
-        counts.setdefault(row["host"], {})[fold(row["shape"])] = row["count"]
+    for row in marked.select("rev_id", F.explode("shapes").alias("shape")).distinct().groupBy("shape").count().collect():
+        host, shape = row["shape"].split(" ")
+        folded = fold(shape)
+        of = counts.setdefault(host, {})
+        of[folded] = of.get(folded, 0) + row["count"]
     return Wrappers(counts)
 
 
@@ -195,19 +263,21 @@ def structural_units(pages: DataFrame) -> DataFrame:
 
     `pages` needs rev_id and text (escaped). Null, empty and unit-free texts
     give no rows. A revision that occurs twice counts once. Wrappers are
-    inferred from all pages. Other columns are ignored. One shuffle, of short unit strings, by rev_id.
+    inferred from all pages and decide what every marker opens. Other columns
+    are ignored. One shuffle of short unit strings, by rev_id.
     """
-    wrappers = _wrappers(pages)
+    marked = marked_pages(pages)
+    wrappers = inferred(marked)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        code = {"heading": "h", "item": "i", "code": "c", "formula": "f"}
-        found = [
-            "".join(code[kind] for _, kind in units(unescape_once(t), wrappers)) if t else "" for t in b.column("text").to_pylist()
-        ]
+        found = []
+        for letters, streams in zip(b.column("letters").to_pylist(), b.column("streams").to_pylist()):
+            undecided = iter(streams)
+            found.append("".join(wrappers.kind(x, next(undecided) if x == "q" else None)[0] for x in letters))
         return pa.RecordBatch.from_arrays([b.column("rev_id"), pa.array(found, pa.string())], ["rev_id", "units"])
 
-    found = map_rows(pages.select("rev_id", "text").where(F.length("text") > 0), batch, "rev_id BIGINT, units STRING")
-    once = found.where("units <> ''").groupBy("rev_id").agg(F.min("units").alias("units"))
+    found = map_rows(marked.where("letters <> ''").select("rev_id", "letters", "streams"), batch, "rev_id BIGINT, units STRING")
+    once = found.groupBy("rev_id").agg(F.min("units").alias("units"))
     names = F.create_map(*(x for k in _KINDS for x in (F.lit(k[0]), F.lit(k))))
     return once.select("rev_id", F.posexplode(F.split("units", "(?<=.)(?=.)")).alias("at", "u")).select(
         "rev_id", (F.col("at") + 1).alias("unit_no"), names[F.col("u")].alias("kind")
@@ -303,12 +373,12 @@ def clean(text: str, wrappers: Wrappers) -> str:
     """
     spans = opaque_spans(text)
     mask = masked(text, spans)
-    marks = units(text, wrappers)
+    found = units(text, wrappers)
     keep = {s: (e, k) for s, e, k in spans}
-    cut = _around(text, [(*m.span(), "") for m in _DROP.finditer(mask)] + _call_signs(mask) + _table_signs(mask), marks, keep)
+    cut = _around(text, [(*m.span(), "") for m in _DROP.finditer(mask)] + _call_signs(mask) + _table_signs(mask), found, keep)
     out: list[str] = []
     at = 0
-    events = sorted([(s, 0, e, put) for s, e, put in cut] + [(s, 1, s, k) for s, k in marks] + [(s, 2, e, k) for s, (e, k) in keep.items()])
+    events = sorted([(s, 0, e, put) for s, e, put in cut] + [(s, 1, s, k) for s, k in found] + [(s, 2, e, k) for s, (e, k) in keep.items()])
     for start, what, end, kind in events:
         if start < at:
             continue
@@ -337,8 +407,8 @@ def clean(text: str, wrappers: Wrappers) -> str:
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """rev_id, clean: the clean text of every revision (null and empty texts stay as they are); no shuffle."""
-    wrappers = _wrappers(pages)
+    """rev_id, clean: the clean text of every revision row (null and empty texts stay as they are). A repeated row stays one."""
+    wrappers = inferred(marked_pages(pages))
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         done = [clean(unescape_once(t), wrappers) if t else t for t in b.column("text").to_pylist()]

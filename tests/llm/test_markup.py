@@ -39,3 +39,22 @@ def test_calls_and_tables_keep_their_text_and_units():
         assert markup.re.findall(r"\[(heading|item|code|formula)\]", got) == [k for _, k in markup.units(text, w)]
         if clean:
             assert got.split() == clean.split(), got
+
+
+def test_roles_come_from_the_pages_not_from_the_signs(spark):
+    """Where a corpus uses a list sign as a heading, its wrapper says so."""
+    usual = ["* a\n* b\n* c\n\ntext\n"] * 3
+    single = ["* Title\n\ntext of it\n\n* Next\n\nmore text\n"] * 9
+    assert {k for *_, k in found(spark, *usual)} == {"item"}
+    assert {k for *_, k in found(spark, *single)} == {"heading"}
+
+
+def test_repeated_and_single_markers_of_each_host():
+    counts: dict = {}
+    for text in ("<h2>A</h2>\n<p>x\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>", "\\section{A}\n\nx\n\n\\begin{itemize}\n  \\item a\n  \\item b\n\\end{itemize}", "== A ==\nx\n\n* a\n** b", "# A\n\n**bold** x\n\n- a\n- b\n\n1. c\n2. d"):
+        spans = markup.opaque_spans(text)
+        mask = markup.masked(text, spans)
+        for host, shape in markup.shapes(mask, markup.headings(mask)):
+            counts.setdefault(host, {})[markup.fold(shape)] = 1
+    role = markup.Wrappers(counts).role
+    assert all(role[x] == "item" for x in "sLImn") and all(role[x] == "heading" for x in "eHS") and role["h markdown"] == "heading"
