@@ -1,6 +1,8 @@
 """Small cases of the core operators: the page format's quirks, nulls, ties, repeated rows and empty tables."""
 
 import bz2
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,8 @@ from foliospark.functions import regexes, strings as S, vectors as V
 from foliospark.operators import dewey, dictionary, documents, markup_trees, matrices, pages as P
 from foliospark.sources import dumps
 from foliospark.streaming import pages as streams
-from foliospark.wikitext import tree
+from foliospark.wikitext import lexer, tree
+from foliospark.wikitext.lexer import opaque_spans
 
 TREE = [
     ("[[dog]]s bark", "<par><link><target>Dog</target><anchor>dogs</anchor></link> bark</par>"),
@@ -159,3 +162,18 @@ def test_nested_nodes_of_odd_pages(spark):
     got = sorted(tuple(r) for r in dewey.node_links(df).where("rev_id IS NOT NULL").collect())
     assert got == [(1, 1, 0, 0), (1, 2, 1, 0), (1, 3, 2, 1)]
     assert dewey.node_links(df).where("rev_id IS NULL").count() == 4
+
+
+@pytest.mark.parametrize("opener", ["<code>", "<pre>", "\\(", "<!--x", "\\begin{align}", "$$a", "```\n", "<math "])
+def test_unclosed_openers_take_linear_time(opener):
+    began = time.time()
+    opaque_spans((opener + " x ") * 20_000)
+    assert time.time() - began < 5
+
+
+def test_scanner_equals_the_pattern():
+    random.seed(1)
+    bits = ["<code>", "</code>", "<pre>", "</pre >", "\\(", "\\)", "$", "$$", "`", "```\n", "\n```", "\n", "a", " ", "<nowiki/>", "<code x/>", "<math", ">", "\\begin{align}", "\\end{align}", "<!--", "-->", "1"]
+    for _ in range(5000):
+        text = "".join(random.choices(bits, k=random.randrange(1, 18)))
+        assert [m.span() for m in lexer._opaque(text)] == [m.span() for m in lexer.OPAQUE.finditer(text)]
