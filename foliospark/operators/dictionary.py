@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from foliospark.functions.stage import written
+
 
 def dense_numbers(keys: DataFrame, order: str, number: str = "id") -> DataFrame:
     """`keys` with numbers from 0 in the order of a column, without one window over all rows.
 
-    Rows are range-partitioned; a row's number is its place in the partition
-    plus the sizes of the partitions before (one short row each).
+    Rows are range-partitioned and written, so that both uses of them see the
+    same ranges; a row's number is its place in the partition plus the sizes of
+    the partitions before (one short row each).
     """
-    part = keys.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    part = written(keys.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1

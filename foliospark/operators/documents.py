@@ -3,30 +3,37 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliospark.wikitext import tree
 
-NODE = "struct<node_id:int,parent_id:int,depth:int,name:string,text:string,attrs:map<string,string>,subtree_end:int>"
+NODE = "struct<node_id:int,parent_id:int,depth:int,name:string,text:string,attrs:map<string,string>,subtree_end:int,path:string,value:string>"
 _NODE_ARROW = pa.list_(
-    pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("subtree_end", pa.int32())])
+    pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("subtree_end", pa.int32()), ("path", pa.string()), ("value", pa.string())])
 )
 
 
+#: Nodes whose whole text is kept beside them; the larger ones would repeat the page once per level.
+VALUED = frozenset(("target", "tSection", "anchor", "param", "caption", "secTitle", "par", "listEl", "b", "i", "curlyThree"))
+
+
 def node_rows(root: tree.Node) -> list[dict]:
     """Nodes in document order; text runs are nodes named #text. A subtree is [node_id, subtree_end)."""
     rows: list[dict] = []
 
-    def add(node, parent: int, depth: int) -> None:
+    def add(node, parent: int, depth: int, path: str) -> None:
         at = len(rows)
         is_text = isinstance(node, str)
-        rows.append({"node_id": at, "parent_id": parent, "depth": depth, "name": "#text" if is_text else node.name, "text": node if is_text else None, "attrs": [] if is_text else sorted(node.attrs.items()), "subtree_end": 0})
+        name = "#text" if is_text else node.name
+        path = f"{path}/{name}"
+        value = node.text() if name in VALUED else None
+        rows.append({"node_id": at, "parent_id": parent, "depth": depth, "name": name, "text": node if is_text else None, "attrs": [] if is_text else sorted(node.attrs.items()), "subtree_end": 0, "path": path, "value": value})
         if not is_text:
             for c in node.children:
-                add(c, at, depth + 1)
+                add(c, at, depth + 1, path)
         rows[at]["subtree_end"] = len(rows)
 
-    add(root, -1, 0)
+    add(root, -1, 0, "")
     return rows
 
 
@@ -79,42 +86,41 @@ def named(table: DataFrame, *names: str) -> DataFrame:
 
 
 def text_of(table: DataFrame, name: str, keys: list[str], alias: str = "value") -> DataFrame:
-    """keys, node_id, value: the text runs below each node of a name, in order."""
-    above = named(table, name).select(*keys, F.col("node_id").alias("_at"), F.col("subtree_end").alias("_end"))
-    runs = named(table, "#text").select(*keys, "node_id", "text")
-    inside = above.join(runs, keys).where("node_id > _at AND node_id < _end")
-    joined = inside.groupBy(*keys, "_at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda s: s["text"]), "").alias(alias))
-    return joined.withColumnRenamed("_at", "node_id")
+    """keys, node_id, value: the text below each node of a name (one of those that keep their text)."""
+    return named(table, name).select(*keys, "node_id", F.coalesce("value", F.lit("")).alias(alias))
 
 
 def child_texts(table: DataFrame, parent: str, child: str, keys: list[str], alias: str) -> DataFrame:
-    """keys, parent_id, value: the text of each child of a name under parents of a name."""
-    kids = named(table, child).select(*keys, "node_id", "parent_id")
+    """keys, parent_id, node_id, value: the text of each child of a name under parents of a name. One equi-join on the parent's id."""
+    kids = named(table, child).select(*keys, "node_id", "parent_id", F.coalesce("value", F.lit("")).alias(alias))
     parents = named(table, parent).select(*keys, F.col("node_id").alias("parent_id"))
-    texts = text_of(table, child, keys, alias)
-    return kids.join(parents, [*keys, "parent_id"], "left_semi").join(texts, [*keys, "node_id"], "left").select(*keys, "parent_id", "node_id", F.coalesce(alias, F.lit("")).alias(alias))
+    return kids.join(parents, [*keys, "parent_id"], "left_semi").select(*keys, "parent_id", "node_id", alias)
+
+
+def _reach(keys: list[str], condition: Column) -> Column:
+    """How far the subtrees reach of the earlier nodes of a page that a condition names."""
+    earlier = Window.partitionBy(*keys).orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    return F.max(F.when(condition, F.col("subtree_end"))).over(earlier)
 
 
 def without_subtrees(table: DataFrame, keys: list[str], doomed: Column) -> DataFrame:
-    """The nodes outside the subtrees of those that a condition names (an anti-join on ranges, per page)."""
-    cut = table.where(doomed).select(*keys, F.col("node_id").alias("_at"), F.col("subtree_end").alias("_end"))
-    hit = table.select(*keys, "node_id").join(cut, keys).where("node_id >= _at AND node_id < _end").select(*keys, "node_id").distinct()
-    return table.join(hit, [*keys, "node_id"], "left_anti")
+    """The nodes outside the subtrees of those that a condition names: one running maximum per page, no pairs."""
+    marked = table.withColumn("_doomed", F.coalesce(doomed, F.lit(False)))
+    reach = marked.withColumn("_reach", F.coalesce(_reach(keys, F.col("_doomed")), F.lit(0)))
+    return reach.where("NOT _doomed AND node_id >= _reach").drop("_doomed", "_reach")
 
 
 def inside(table: DataFrame, keys: list[str], name: str, within: str) -> DataFrame:
-    """Nodes of one name in the subtree of nodes of another."""
-    outer = named(table, within).select(*keys, F.col("node_id").alias("_at"), F.col("subtree_end").alias("_end"))
-    hit = named(table, name).join(outer, keys).where("node_id > _at AND node_id < _end").select(*keys, "node_id").distinct()
-    return named(table, name).join(hit, [*keys, "node_id"], "left_semi")
+    """Nodes of one name in the subtree of nodes of another: one running maximum per page."""
+    reach = table.withColumn("_reach", _reach(keys, F.col("name") == within))
+    return reach.where((F.col("name") == name) & (F.col("node_id") < F.col("_reach"))).drop("_reach")
 
 
 def section_parents(table: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, node_id, level, title, parent_title of each section; null for those at the top."""
-    s = named(table, "section").select(*keys, "node_id", F.element_at("attrs", "level").cast("int").alias("level"), "subtree_end")
+    """keys, node_id, level, title, parent_title of each section; null for those at the top. A section lies in the content of its parent."""
+    s = named(table, "section").select(*keys, "node_id", "parent_id", F.element_at("attrs", "level").cast("int").alias("level"))
     titles = child_texts(table, "section", "secTitle", keys, "title").select(*keys, F.col("parent_id").alias("node_id"), "title")
     full = s.join(titles, [*keys, "node_id"])
-    above = full.select(*keys, F.col("node_id").alias("_at"), F.col("subtree_end").alias("_end"), F.col("title").alias("parent_title"))
-    up = full.select(*keys, "node_id").join(above, keys).where("_at < node_id AND node_id < _end")
-    nearest = up.groupBy(*keys, "node_id").agg(F.max_by("parent_title", "_at").alias("parent_title"))
-    return full.join(nearest, [*keys, "node_id"], "left").select(*keys, "level", "title", "parent_title")
+    content = named(table, "secContent").select(*keys, F.col("node_id").alias("parent_id"), F.col("parent_id").alias("_above"))
+    above = titles.select(*keys, F.col("node_id").alias("_above"), F.col("title").alias("parent_title"))
+    return full.join(content, [*keys, "parent_id"], "left").join(above, [*keys, "_above"], "left").select(*keys, "level", "title", "parent_title")

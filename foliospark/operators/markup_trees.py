@@ -17,6 +17,7 @@ CLOSES = {  # an opening tag ends these open elements
     "h1": ("p",), "h2": ("p",), "h3": ("p",), "ul": ("p",), "ol": ("p",), "table": ("p",), "div": ("p",), "thead": ("tr",), "tbody": ("thead", "tbody", "tr"),
 }
 SCOPES = frozenset(("table", "ul", "ol", "dl", "select", "body", "html", "div"))
+CONTAINERS = frozenset("html head body div section article main table thead tbody tr ul ol dl form".split())  # too large to keep their text beside them
 RENAMED = {"center": "div", "dir": "ul", "menu": "ul"}
 DEPRECATED = ("font", "center", "basefont", "applet", "isindex", "menu", "dir", "strike", "u", "s", "blink", "marquee")
 
@@ -32,7 +33,9 @@ class _Builder(HTMLParser):
         self.warnings = self.errors = 0
 
     def _row(self, name: str, text: str | None, attrs: list) -> int:
-        self.rows.append({"node_id": len(self.rows), "parent_id": self.open[-1][1] if self.open else -1, "depth": len(self.open), "name": name, "text": text, "attrs": attrs, "subtree_end": len(self.rows) + 1})
+        parent = self.open[-1][1] if self.open else -1
+        path = (self.rows[parent]["path"] if parent >= 0 else "") + "/" + name
+        self.rows.append({"node_id": len(self.rows), "parent_id": parent, "depth": len(self.open), "name": name, "text": text, "attrs": attrs, "subtree_end": len(self.rows) + 1, "path": path, "value": None})
         return len(self.rows) - 1
 
     def _close(self, to: int) -> None:
@@ -103,6 +106,9 @@ class _Builder(HTMLParser):
         self.close()
         self.errors += sum(1 for name, _ in self.open if name not in ("p", "li", "td", "tr", "th", "dt", "dd", "option", "html", "body"))
         self._close(0)
+        for r in self.rows:
+            if r["name"] != "#text" and r["name"] not in CONTAINERS:
+                r["value"] = "".join(x["text"] for x in self.rows[r["node_id"] : r["subtree_end"]] if x["text"])
         return "".join(self.out), self.rows, self.warnings, self.errors
 
 
@@ -113,14 +119,14 @@ def repair(html: str) -> tuple[str, list[dict], int, int]:
     return b.done()
 
 
-_NODE = "struct<node_id:int,parent_id:int,depth:int,name:string,text:string,attrs:map<string,string>,subtree_end:int>"
+_NODE = "struct<node_id:int,parent_id:int,depth:int,name:string,text:string,attrs:map<string,string>,subtree_end:int,path:string,value:string>"
 
 
 def repaired(pages: DataFrame, keys: list[str], column: str = "html") -> DataFrame:
     """keys, clean, nodes, warnings, errors of every page; null pages give no row. One Arrow pass, no shuffle."""
     picked = pages.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_html"))
     schema = ", ".join(f"`{k}` {picked.schema[k].dataType.simpleString()}" for k in keys) + f", clean string, nodes array<{_NODE}>, warnings int, errors int"
-    nodes = pa.list_(pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("subtree_end", pa.int32())]))
+    nodes = pa.list_(pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("subtree_end", pa.int32()), ("path", pa.string()), ("value", pa.string())]))
 
     def run(batches):
         for b in batches:

@@ -96,11 +96,7 @@ def xml_find_by_value(spark, d):
 
 @query("xml_paths", "SELECT p_partkey, unnest(['/p', '/p/name', '/p/s', '/p/s', '/p/t']) AS path FROM part")
 def xml_paths(spark, d):
-    t = _tree(spark, d).where("name <> '#text'")
-    up = t.select("p_partkey", F.col("node_id").alias("_at"), F.col("subtree_end").alias("_end"), F.col("name").alias("_n"))
-    p = t.select("p_partkey", "node_id").join(up, "p_partkey").where("_at <= node_id AND node_id < _end")
-    steps = p.groupBy("p_partkey", "node_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_n"))).alias("s"))
-    return steps.select("p_partkey", F.concat(F.lit("/"), F.array_join(F.transform("s", lambda x: x["_n"]), "/")).alias("path"))
+    return _tree(spark, d).where("name <> '#text'").select("p_partkey", "path")
 
 
 # ---------------------------------------------------------- HTML

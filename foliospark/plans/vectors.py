@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from foliospark.functions import vectors as V
+from foliospark.functions.stage import written
 from foliospark.plans.registry import columns, query
 from foliospark.sources.tables import table
 
@@ -139,7 +140,7 @@ def adjacent_distinct(spark, d):
 def csr_offsets(spark, d):
     """Where each key's list starts when lists lie one after the other: offsets of range partitions plus running sums inside."""
     n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
-    part = n.repartitionByRange("k").withColumn("part", F.spark_partition_id())
+    part = written(n.repartitionByRange("k").withColumn("part", F.spark_partition_id()), "ranges")
     sums = part.groupBy("part").agg(F.sum("n").alias("in_part"))
     before = sums.select("part", F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     inside = F.sum("n").over(Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
