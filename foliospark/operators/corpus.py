@@ -86,3 +86,20 @@ def noun_links(pages: DataFrame, links: DataFrame, redirects: DataFrame) -> Data
     through = l.join(r, "noun").join(p.withColumnRenamed("noun", "target"), "target").select("from_id", "noun", "page_id")
     own = p.select(F.col("page_id").alias("from_id"), "noun", "page_id")
     return direct.unionByName(through).unionByName(own).distinct()
+
+
+def noun_index(pages: DataFrame, nouns: DataFrame) -> DataFrame:
+    """id, noun, page_id, n: how often a page's text names a noun that the page may be indexed under, at word boundaries.
+
+    `nouns` is from_id, noun, page_id (see `noun_links`). A page's nouns are
+    bounded by its links; they are gathered per page and looked up in its text,
+    so no phrase of the text is shuffled. Null texts name nothing.
+    """
+    per_page = nouns.groupBy(F.col("from_id").alias("id")).agg(F.collect_set(F.struct("noun", "page_id")).alias("nouns"))
+    blank = F.translate(lower_ascii(F.col("text")), SEPARATORS + "\n", " " * (len(SEPARATORS) + 1))
+    padded = F.concat(F.lit(" "), F.replace(blank, F.lit(" "), F.lit("  ")), F.lit(" "))
+    texts = pages.where("text IS NOT NULL AND id IS NOT NULL").select("id", padded.alias("padded"))
+    at = texts.join(per_page, "id").select("id", "padded", F.inline("nouns"))
+    sought = F.concat(F.lit(" "), F.replace("noun", F.lit(" "), F.lit("  ")), F.lit(" "))
+    n = ((F.length("padded") - F.length(F.replace(F.col("padded"), sought, F.lit("")))) / F.length(sought)).cast("bigint")
+    return at.where("noun <> ''").select("id", "noun", "page_id", n.alias("n")).where("n > 0").groupBy("id", "noun", "page_id").agg(F.max("n").alias("n"))

@@ -95,3 +95,20 @@ def agglomerative(spark, d):
     """The mean vectors of the labels (one per label) joined to at most four states."""
     labels, centres = M.labelled_centroids(_points(spark, d))
     return M.as_frame(spark, "label INT, cluster INT", list(zip(labels, M.agglomerated(centres, 4.0))))
+
+
+@query("solve_spd")
+def solve_spd(spark, d):
+    """j, x of the damped normal equations for the label as a linear function of the vector."""
+    p = _points(spark, d)
+    n = len(p.select("vec").head().vec)
+    right = {r.j: r.v for r in M.entries(p).join(p.select(F.col("id").alias("i"), "label"), "i").groupBy("j").agg(F.sum(F.col("v") * F.col("label")).alias("v")).collect()}
+    x = M.solved(M.gram(p), [right.get(j, 0.0) for j in range(n)], 1.0)
+    return M.as_frame(spark, "j INT, x DOUBLE", [(j, round(float(v), 6)) for j, v in enumerate(x)])
+
+
+@query("orthonormal")
+def orthonormal(spark, d):
+    """i, j, v: orthonormal columns that span the columns of the Gram matrix."""
+    q = M.orthonormal(M.gram(_points(spark, d)))
+    return M.as_frame(spark, "i INT, j INT, v DOUBLE", [(i, j, round(float(v), 6)) for i, row in enumerate(q) for j, v in enumerate(row)])

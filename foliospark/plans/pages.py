@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import strings as S
 from foliospark.operators import corpus, dictionary, pages as P
-from foliospark.plans.registry import columns, query
+from foliospark.plans.registry import ORACLES, columns, query
 from foliospark.sources import dumps
 from foliospark.sources.tables import table
 
@@ -236,3 +236,22 @@ def token_topk(spark, d):
 @query("noun_link", f"WITH p AS (SELECT DISTINCT translate({_PT}, '{UP}', '{LOW}') AS noun, id FROM dump_pages WHERE title IS NOT NULL), l AS (SELECT DISTINCT from_id, translate({_PL}, '{UP}', '{LOW}') AS noun FROM page_links WHERE to_title IS NOT NULL), r AS (SELECT DISTINCT translate({_NORM('from_title')}, '{UP}', '{LOW}') AS noun, translate({_NORM('to_title')}, '{UP}', '{LOW}') AS target FROM page_redirects WHERE from_title IS NOT NULL AND to_title IS NOT NULL) SELECT DISTINCT l.from_id, l.noun, p.id AS page_id FROM l JOIN p USING (noun) UNION SELECT l.from_id, l.noun, p.id FROM l JOIN r ON l.noun = r.noun JOIN p ON p.noun = r.target UNION SELECT DISTINCT id, noun, id FROM p")
 def noun_link(spark, d):
     return corpus.noun_links(table(spark, d, "dump_pages"), table(spark, d, "page_links"), table(spark, d, "page_redirects"))
+
+
+_NOUNS = ORACLES["noun_link"]
+_SEP_SQL = (_SEP + "\n").replace("'", "''")
+_PADDED = f"' ' || replace(translate(translate(text, '{UP}', '{LOW}'), '{_SEP_SQL}', '{' ' * (len(_SEP) + 1)}'), ' ', '  ') || ' '"
+_SOUGHT = "' ' || replace(noun, ' ', '  ') || ' '"
+
+
+@query("noun_index", f"SELECT id, noun, page_id, max(n) AS n FROM (SELECT p.id, noun, page_id, (length(padded) - length(replace(padded, {_SOUGHT}, ''))) // length({_SOUGHT}) AS n FROM (SELECT id, {_PADDED} AS padded FROM dump_pages WHERE text IS NOT NULL) p JOIN ({_NOUNS}) k ON k.from_id = p.id WHERE noun <> '') WHERE n > 0 GROUP BY 1, 2, 3")
+def noun_index(spark, d):
+    pages = table(spark, d, "dump_pages")
+    return corpus.noun_index(pages, corpus.noun_links(pages, table(spark, d, "page_links"), table(spark, d, "page_redirects")))
+
+
+@query("page_fetch", "SELECT rev_id, title, text FROM dump_pages WHERE rev_id = (SELECT min(rev_id) FROM dump_pages)")
+def page_fetch(spark, d):
+    """Access to one page: the key reaches the scan."""
+    p = table(spark, d, "dump_pages")
+    return p.where(F.col("rev_id") == p.agg(F.min("rev_id")).head()[0]).select("rev_id", "title", "text")

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import regexes, strings as S, vectors as V
-from foliospark.operators import dewey, dictionary, documents, markup_trees, matrices, pages as P
-from foliospark.sources import dumps
+from foliospark.operators import corpus, dewey, dictionary, documents, markup_trees, matrices, pages as P
+from foliospark.sources import dumps, exports
 from foliospark.streaming import pages as streams
 from foliospark.wikitext import lexer, tree
 from foliospark.wikitext.lexer import opaque_spans
@@ -177,3 +177,36 @@ def test_scanner_equals_the_pattern():
     for _ in range(5000):
         text = "".join(random.choices(bits, k=random.randrange(1, 18)))
         assert [m.span() for m in lexer._opaque(text)] == [m.span() for m in lexer.OPAQUE.finditer(text)]
+
+
+def test_corpus_is_written_and_read_again(spark, tmp_path):
+    rows = [("A", 0, "'''A''' is [[b]].\n\n== H ==\nx"), ("List of x", 0, "* a"), ("R", 0, "#REDIRECT [[A]]"), ("D", 0, "{{dab}}"), ("T", 4, "talk"), ("B", 0, "[[broken"), ("N", 0, None)]
+    records = spark.createDataFrame(rows, "title STRING, ns INT, text STRING")
+    exports.write_corpus(exports.corpus(records, exports.ParseOptions()), str(tmp_path / "out"))
+    lines = lambda name: sorted(r.value for r in exports.read_lines(spark, str(tmp_path / "out" / name)).collect())
+    assert lines("titles") == ["A", "B"] and lines("redirects") == ["R\t\t-->\t\tA"]
+    report = dict(r.rsplit("\t", 1) for r in lines("report"))
+    assert report["pages\tarticle"] == "2" and report["errors\tsection: unmatched ["] == "1"
+    exports.joined_xml(spark, str(tmp_path / "out"), str(tmp_path / "all.xml"))
+    whole = (tmp_path / "all.xml").read_text()
+    assert whole.startswith("<?xml") and whole.endswith("</pages>") and whole.count("<text>") == 2
+    assert exports.page(spark, str(tmp_path / "out"), "A").head().plain.startswith("\n\n#Article: A\n#Type: article")
+
+
+def test_options_and_tables_come_back(spark, tmp_path):
+    path = str(tmp_path / "o.json")
+    assert exports.ParseOptions.load(path) == exports.ParseOptions()
+    exports.ParseOptions(captions=False, test_pages=3).save(path)
+    assert exports.ParseOptions.load(path).test_pages == 3 and exports.estimated_output(110, True) == 400
+    df = spark.createDataFrame([("a b", 1.5), ("c", None)], "k STRING, x DOUBLE")
+    exports.write_tsv(df, str(tmp_path / "t"))
+    assert sorted(map(tuple, exports.read_tsv(spark, str(tmp_path / "t"), "k STRING, x DOUBLE").collect())) == [("a b", 1.5), ("c", None)]
+    (tmp_path / "crlf.txt").write_bytes(b"a\r\nb\r\n")
+    assert [r.value for r in exports.read_lines(spark, str(tmp_path / "crlf.txt")).collect()] == ["a", "b"]
+    assert exports.read_whole(spark, str(tmp_path / "crlf.txt")).head().content == b"a\r\nb\r\n"
+
+
+def test_nouns_need_boundaries_and_a_link(spark):
+    pages = spark.createDataFrame([(1, "The red house, a red housefly; red house"), (2, "red house"), (3, None)], "id BIGINT, text STRING")
+    nouns = spark.createDataFrame([(1, "red house", 9), (1, "", 8), (3, "red house", 9)], "from_id BIGINT, noun STRING, page_id BIGINT")
+    assert [tuple(r) for r in corpus.noun_index(pages, nouns).collect()] == [(1, "red house", 9, 2)]
