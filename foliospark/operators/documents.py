@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from foliospark.functions.arrow import slices
 from foliospark.wikitext import tree
 
 NODE = "struct<node_id:int,parent_id:int,depth:int,name:string,text:string,attrs:map<string,string>,subtree_end:int,path:string,value:string>"
@@ -54,7 +55,7 @@ def parsed(pages: DataFrame, keys: list[str], article: bool = True) -> DataFrame
     errors_arrow = pa.list_(pa.struct([("category", pa.string()), ("message", pa.string())]))
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             nodes, xml, plain, flat, errors = [], [], [], [], []
             for text, title, kind in zip(*(b.column(c).to_pylist() for c in ("text", "_title", "_page_type"))):
                 found: list = []

@@ -10,6 +10,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foliospark.functions.arrow import slices
+
 # Fixed values of HTML's content model.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {  # an opening tag ends these open elements
@@ -129,7 +131,7 @@ def repaired(pages: DataFrame, keys: list[str], column: str = "html") -> DataFra
     nodes = pa.list_(pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("subtree_end", pa.int32()), ("path", pa.string()), ("value", pa.string())]))
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             done = [repair(h) for h in b.column("_html").to_pylist()]
             cols = [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), nodes, pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *cols], [*keys, "clean", "nodes", "warnings", "errors"])

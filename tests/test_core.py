@@ -210,3 +210,14 @@ def test_nouns_need_boundaries_and_a_link(spark):
     pages = spark.createDataFrame([(1, "The red house, a red housefly; red house"), (2, "red house"), (3, None)], "id BIGINT, text STRING")
     nouns = spark.createDataFrame([(1, "red house", 9), (1, "", 8), (3, "red house", 9)], "from_id BIGINT, noun STRING, page_id BIGINT")
     assert [tuple(r) for r in corpus.noun_index(pages, nouns).collect()] == [(1, "red house", 9, 2)]
+
+
+def test_batches_of_long_texts_are_cut():
+    import pyarrow as pa
+
+    from foliospark.functions import arrow
+
+    b = pa.RecordBatch.from_arrays([pa.array(["x" * (9 << 20)] * 5), pa.array(range(5))], ["t", "n"])
+    parts = list(arrow.slices(b))
+    assert [p.num_rows for p in parts] == [1] * 5 and [p.column("n")[0].as_py() for p in parts] == list(range(5))
+    assert len(list(arrow.slices(b.slice(0, 0)))) == 0
