@@ -77,7 +77,7 @@ def _block_batches(batches, most: int):
                     pa.array([at], pa.int64()),
                     pa.array([b.column("doc_id").slice(start, stop - start).to_pylist()], pa.list_(pa.int64())),
                     _one_list(lens[start:stop].astype(np.int32)),
-                    _one_list(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)),
+                    pa.array([_packed(coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary))], pa.binary()),
                     pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())),
                 ],
                 ["block", "docs", "lens", "codes", "words"],
@@ -86,6 +86,18 @@ def _block_batches(batches, most: int):
             start = stop
 
 
+def _packed(codes: np.ndarray, distinct: int) -> bytes:
+    """Codes in 2 bytes each where the block's distinct words allow it, else in 4 (first byte), compressed: they are most of what is shuffled."""
+    kind = np.uint16 if distinct <= 1 << 16 else np.uint32
+    return bytes([kind().itemsize]) + pa.compress(codes.astype(kind).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    width = packed[0]
+    raw = pa.decompress(packed[1:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint16 if width == 2 else np.uint32).astype(np.int64)
+
+
 def _one_list(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
 
@@ -98,7 +110,7 @@ def word_blocks(documents: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
         F.expr(f"CASE WHEN text IS NULL THEN array() ELSE regexp_extract_all(text, r\"{WORD}\", 0) END").alias("words"),
         F.when(text.rlike(r"\p{Cn}"), text).alias("rare"),
     )
-    schema = "block BIGINT, docs ARRAY<BIGINT>, lens ARRAY<INT>, codes ARRAY<INT>, words ARRAY<STRING>"
+    schema = "block BIGINT, docs ARRAY<BIGINT>, lens ARRAY<INT>, codes BINARY, words ARRAY<STRING>"
     return written(cut.mapInArrow(lambda batches: _block_batches(batches, most), schema), "word-blocks")
 
 
@@ -118,8 +130,8 @@ def _place(b: pa.RecordBatch) -> pa.RecordBatch:
     col = {n: b.column(n) for n in b.schema.names}
     for r in range(b.num_rows):
         pieces = col["pieces"][r].values
-        codes = col["codes"][r].values.to_numpy()
         lens = col["lens"][r].values.to_numpy()
+        codes = _unpacked(col["codes"][r].as_py(), int(lens.sum()))
         docs.append(col["docs"][r].values)
         if len(codes) == 0:
             counts.append(np.zeros(len(lens), np.int64))
