@@ -55,32 +55,36 @@ def _splitter():
     return regex.compile(P.PATTERN)
 
 
-def _block_batches(batches, most: int):
-    task = TaskContext.get()
-    at = (task.partitionId() if task else 0) << 32
+def _cut_rare(batches):
+    """Batches with their words; texts with signs newer than the JVM's tables are cut here."""
     for b in batches:
-        words = b.column("words")
-        rare = b.column("rare")
-        if rare.null_count < len(rare):  # signs newer than the JVM's tables are cut here
+        words, rare = b.column("words"), b.column("rare")
+        if rare.null_count < len(rare):
             words = pa.array([w if r is None else _splitter().findall(r) for w, r in zip(words.to_pylist(), rare.to_pylist())], pa.list_(pa.string()))
-        lens = np.diff(words.offsets.to_numpy()) if words.null_count == 0 else np.array([0 if x is None else x for x in words.value_lengths().to_pylist()])
+        yield b.column("doc_id"), words
+
+
+def _blocks(columns, most: int, kind: pa.DataType):
+    """One row per block of whole documents with about `most` values: docs, lens, packed codes, and the distinct values that the codes count."""
+    task = TaskContext.get()
+    at = (task.partitionId() if task else 0) << 32
+    for docs, lists in columns:
+        lens = np.array([x or 0 for x in lists.value_lengths().to_pylist()], np.int64)
         ends = np.cumsum(lens)
         start = 0
         while start < len(lens):
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
-            coded = words.slice(start, stop - start).flatten().dictionary_encode()
-            if isinstance(coded, pa.ChunkedArray):
-                coded = coded.combine_chunks()
+            coded = lists.slice(start, stop - start).flatten().dictionary_encode()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([at], pa.int64()),
-                    pa.array([b.column("doc_id").slice(start, stop - start).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([docs.slice(start, stop - start).to_pylist()], pa.list_(pa.int64())),
                     _one_list(lens[start:stop].astype(np.int32)),
                     pa.array([_packed(coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary))], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())),
+                    pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(kind)),
                 ],
-                ["block", "docs", "lens", "codes", "words"],
+                ["block", "docs", "lens", "codes", "distinct"],
             )
             at += 1
             start = stop
@@ -103,15 +107,15 @@ def _one_list(values: np.ndarray) -> pa.ListArray:
 
 
 def word_blocks(documents: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
-    """block, docs, lens, codes, words: the documents as blocks of coded words, written to the shared folder."""
+    """block, docs, lens, codes, distinct: the documents as blocks of coded words, written to the shared folder."""
     text = F.col("text")
     cut = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.expr(f"CASE WHEN text IS NULL THEN array() ELSE regexp_extract_all(text, r\"{WORD}\", 0) END").alias("words"),
         F.when(text.rlike(r"\p{Cn}"), text).alias("rare"),
     )
-    schema = "block BIGINT, docs ARRAY<BIGINT>, lens ARRAY<INT>, codes BINARY, words ARRAY<STRING>"
-    return written(cut.mapInArrow(lambda batches: _block_batches(batches, most), schema), "word-blocks")
+    schema = "block BIGINT, docs ARRAY<BIGINT>, lens ARRAY<INT>, codes BINARY, distinct ARRAY<STRING>"
+    return written(cut.mapInArrow(lambda batches: _blocks(_cut_rare(batches), most, pa.string()), schema), "word-blocks")
 
 
 def word_table(blocks: DataFrame, name: str) -> DataFrame:
@@ -122,7 +126,7 @@ def word_table(blocks: DataFrame, name: str) -> DataFrame:
         ids = encoding(name).encode_ordinary_batch(words.to_pylist(), num_threads=1)
         return pa.RecordBatch.from_arrays([words, pa.array(ids, pa.list_(pa.int32()))], ["word", "piece_ids"])
 
-    return map_rows(blocks.select(F.explode("words").alias("word")).distinct(), encode, "word STRING, piece_ids ARRAY<INT>")
+    return map_rows(blocks.select(F.explode("distinct").alias("word")).distinct(), encode, "word STRING, piece_ids ARRAY<INT>")
 
 
 def _place(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -156,7 +160,7 @@ def token_ids(documents: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
     text spells out are ordinary text.
     """
     blocks = word_blocks(documents)
-    refs = blocks.select("block", F.posexplode("words").alias("code", "word")).join(word_table(blocks, name), "word")
+    refs = blocks.select("block", F.posexplode("distinct").alias("code", "word")).join(word_table(blocks, name), "word")
     lists = refs.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("code", "piece_ids"))).alias("p"))
     joined = blocks.select("block", "docs", "lens", "codes").join(lists, "block", "left")
     placed = joined.select("docs", "lens", "codes", F.coalesce("p.piece_ids", F.expr("cast(array() as array<array<int>>)")).alias("pieces"))
@@ -174,15 +178,30 @@ def pieces(spark: SparkSession, name: str = "byte_bpe_50k") -> DataFrame:
     return spark.createDataFrame([(i, b.hex()) for b, i in _ranks(name).items()], "id INT, piece STRING")
 
 
-def decoded(ids: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
-    """doc_id, text back from doc_id, ids by a join with the vocabulary's pieces; an empty list gives ''.
-
-    The vocabulary has a fixed size and is broadcast; the shuffle is by row.
-    Bytes that are no UTF-8 decode to replacement signs. Repeated doc_ids keep
-    their own rows.
+def _spell(batches):
+    for b in batches:
+        for r in range(b.num_rows):
+            part = b.slice(r, 1)
+            lens = part.column("lens")[0].values.to_numpy()
+            codes = _unpacked(part.column("codes")[0].as_py(), int(lens.sum()))
+            spelled = [bytes.fromhex(p or "") for p in part.column("pieces")[0].as_py()]
+            ends = np.cumsum(lens)
+            texts = [b"".join([spelled[c] for c in codes[e - n : e]]).decode("utf-8", "replace") for e, n in zip(ends, lens)]
+            yield pa.RecordBatch.from_arrays([part.column("docs")[0].values.cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+
+def decoded(ids: DataFrame, name: str = "byte_bpe_50k", most: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, text back from doc_id, ids by a join with the vocabulary's pieces; an empty or null list gives ''.
+
+    As in encoding, rows are gathered into blocks and only a block's distinct
+    ids are joined. The vocabulary has a fixed size and is broadcast. Bytes
+    that are no UTF-8 decode to replacement signs, unknown ids to nothing;
+    repeated and null doc_ids keep their own rows.
     """
-    rows = ids.select("doc_id", "ids", F.monotonically_increasing_id().alias("_row"))
-    at = rows.select("_row", "doc_id", F.posexplode_outer("ids").alias("_at", "id"))
-    joined = at.join(F.broadcast(pieces(ids.sparkSession, name)), "id", "left")
-    back = joined.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("_at", "piece"))).alias("p"))
-    return back.select("doc_id", F.expr("decode(unhex(array_join(p.piece, '')), 'utf-8')").alias("text"))
+    schema = "block BIGINT, docs ARRAY<BIGINT>, lens ARRAY<INT>, codes BINARY, distinct ARRAY<INT>"
+    lists = ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
+    blocks = written(lists.mapInArrow(lambda batches: _blocks(((b.column("doc_id"), b.column("ids")) for b in batches), most, pa.int32()), schema), "id-blocks")
+    refs = blocks.select("block", F.posexplode("distinct").alias("code", "id")).join(F.broadcast(pieces(ids.sparkSession, name)), "id", "left")
+    spelled = refs.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("code", "piece"))).alias("p"))
+    joined = blocks.select("block", "docs", "lens", "codes").join(spelled, "block", "left")
+    return joined.select("docs", "lens", "codes", F.coalesce("p.piece", F.expr("cast(array() as array<string>)")).alias("pieces")).mapInArrow(_spell, "doc_id BIGINT, text STRING")
