@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from foliospark.llm import duplicates, leaks, quality, queries, residue, sentences, split, subjects, tokens
+from foliospark.llm import duplicates, leaks, markup, quality, queries, residue, sentences, split, subjects, tokens
 
 PROSE = "The first lattice of Camiro was measured in 1848 after the isotope had been classified by Velda. Little is known about the plan before 1732, but it was not lost. "
 
@@ -228,3 +228,22 @@ def test_lone_words_do_not_hide_residue(spark):
 
 def test_every_problem_has_its_queries():
     assert {f"p{n}" for n in (1, 2, 3, 4, 5, 6, 8, 9, 10)} == {q.split("_")[0] for q in queries.QUERIES}
+
+
+def test_empty_pages(spark):
+    none = spark.createDataFrame([], "id BIGINT, ns INT, title STRING, text STRING, rev_id BIGINT, rev_ts TIMESTAMP, contributor STRING")
+    labels = spark.createDataFrame([(1, "law")], "id BIGINT, subject STRING")
+    for f in (residue.residue_pages, residue.residue_templates, split.oversized, split.split_pages, markup.structural_units, markup.clean_pages, duplicates.similar_pairs, duplicates.groups, quality.shapes, lambda p: quality.outliers(quality.text_statistics(p)), lambda p: subjects.page_subjects(p, labels)):
+        assert f(none).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = PROSE * 6000
+    df = pages(spark, [(1, long), (2, long), (3, "{{a|" * 3000 + "x"), (4, "word" * 200_000), (5, "\n".join("* x" for _ in range(60_000)))])
+    assert markup.structural_units(df).where("rev_id = 5").count() == 60_000
+    assert [tuple(r) for r in duplicates.similar_pairs(df).collect()] == [(1, 2)]
+    assert dict(map(tuple, quality.shapes(df).collect())).get(5) == "list"
+    assert {r.rev_id for r in split.oversized(df).collect()} == {1, 2, 3, 4, 5}
+    docs = df.selectExpr("rev_id AS doc_id", "text")
+    assert {r.doc_id: len(r.ids) for r in tokens.token_ids(docs).collect()}[1] == len(tokens.encoding().encode_ordinary(long))
+    assert sentences.sentence_units(docs).where("doc_id = 1").count() == 12_000
