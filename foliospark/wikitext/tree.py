@@ -158,16 +158,16 @@ def parse_inline(text: str) -> list:
         node, stop, cut = stack.pop()
         node.children.append(text[at : stop - cut])
         at = max(at, stop)
-    _tidy(root)
+    _without_blanks(root)
     _finish(root)
     return root.children
 
 
-def _tidy(node: Node) -> None:
+def _without_blanks(node: Node) -> None:
     node.children = [c for c in node.children if c != ""]
     for c in node.children:
         if isinstance(c, Node):
-            _tidy(c)
+            _without_blanks(c)
 
 
 def _pieces(children: list) -> list[list]:
