@@ -19,8 +19,22 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` with its rows spread over the cores, if its scan yields less than half as many tasks as there are cores (a small file).
+
+    Plans that hold a shuffle already, and streams, stay as they are.
+    """
+    if df.isStreaming:
+        return df
+    plan = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec" or 2 * plan.toRdd().getNumPartitions() > cores:
+        return df
+    return df.repartition(cores)
+
+
 def map_rows(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
-    """Apply a record-batch function to every batch of `df`; no shuffle. Batches of long texts are cut first, so that a worker's memory does not grow with them."""
+    """Apply a record-batch function to every batch of `df`; no shuffle, but see `spread`. Batches of long texts are cut first, so that a worker's memory does not grow with them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -29,4 +43,4 @@ def map_rows(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch
                 if out is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)

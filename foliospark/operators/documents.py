@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from foliospark.functions.arrow import slices
+from foliospark.functions.arrow import slices, spread
 from foliospark.wikitext import tree
 
 NODE = "struct<node_id:int,parent_id:int,depth:int,name:string,text:string,attrs:map<string,string>,subtree_end:int,path:string,value:string>"
@@ -38,8 +38,11 @@ def node_rows(root: tree.Node) -> list[dict]:
     return rows
 
 
-def parsed(pages: DataFrame, keys: list[str], article: bool = True) -> DataFrame:
-    """keys, nodes, xml, plain, flat, errors of every row with a text.
+PARTS = ("nodes", "xml", "plain", "flat", "errors")
+
+
+def parsed(pages: DataFrame, keys: list[str], article: bool = True, want: tuple[str, ...] = PARTS) -> DataFrame:
+    """keys and nodes, xml, plain, flat, errors (those of them in `want`) of every row with a text.
 
     `pages` has the keys, text (unescaped) and, for `plain`, title and
     page_type if they are there. Null texts give no row. With `article` the
@@ -50,33 +53,37 @@ def parsed(pages: DataFrame, keys: list[str], article: bool = True) -> DataFrame
     picked = pages.where("text IS NOT NULL").select(*keys, "text", *(F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") if has[c] else F.lit("").alias(f"_{c}") for c in has))
     fields = {f.name: f for f in picked.schema.fields}
     schema = ", ".join(f"`{k}` {fields[k].dataType.simpleString()}" for k in keys)
-    schema += f", nodes array<{NODE}>, xml string, plain string, flat string, errors array<struct<category:string,message:string>>"
-    names = [*keys, "nodes", "xml", "plain", "flat", "errors"]
-    errors_arrow = pa.list_(pa.struct([("category", pa.string()), ("message", pa.string())]))
+    kinds = {"nodes": f"array<{NODE}>", "errors": "array<struct<category:string,message:string>>"}
+    schema += "".join(f", {w} {kinds.get(w, 'string')}" for w in want)
+    arrow = {"nodes": _NODE_ARROW, "errors": pa.list_(pa.struct([("category", pa.string()), ("message", pa.string())]))}
 
     def run(batches):
         for b in (part for whole in batches for part in slices(whole)):
-            nodes, xml, plain, flat, errors = [], [], [], [], []
+            out: dict[str, list] = {w: [] for w in want}
             for text, title, kind in zip(*(b.column(c).to_pylist() for c in ("text", "_title", "_page_type"))):
                 found: list = []
                 root = tree.parse(text, found)
                 if article:
                     root = tree.processed(root)
-                nodes.append(node_rows(root))
-                xml.append(tree.xml(root))
-                plain.append(tree.document(root, title, kind))
-                flat.append(tree.flat(root))
-                errors.append([{"category": c, "message": m} for c, m in found])
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in keys), pa.array(nodes, _NODE_ARROW), pa.array(xml, pa.string()), pa.array(plain, pa.string()), pa.array(flat, pa.string()), pa.array(errors, errors_arrow)], names
-            )
-
-    return picked.mapInArrow(run, schema)
+                for w in want:
+                    if w == "nodes":
+                        out[w].append(node_rows(root))
+                    elif w == "xml":
+                        out[w].append(tree.xml(root))
+                    elif w == "plain":
+                        out[w].append(tree.document(root, title, kind))
+                    elif w == "flat":
+                        out[w].append(tree.flat(root))
+                    else:
+                        out[w].append([{"category": c, "message": m} for c, m in found])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *(pa.array(out[w], arrow.get(w, pa.string())) for w in want)], [*keys, *want])
+
+    return spread(picked).mapInArrow(run, schema)
 
 
 def nodes(pages: DataFrame, keys: list[str], article: bool = True) -> DataFrame:
     """keys and one row per node."""
-    return parsed(pages, keys, article).select(*keys, F.inline("nodes"))
+    return parsed(pages, keys, article, ("nodes",)).select(*keys, F.inline("nodes"))
 
 
 # ---------------------------------------------------------- node-table operators

@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliospark.functions.arrow import slices
+from foliospark.functions.arrow import slices, spread
 
 # Fixed values of HTML's content model.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -136,7 +136,7 @@ def repaired(pages: DataFrame, keys: list[str], column: str = "html") -> DataFra
             cols = [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), nodes, pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *cols], [*keys, "clean", "nodes", "warnings", "errors"])
 
-    return picked.mapInArrow(run, schema)
+    return spread(picked).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------- Catalyst expressions on pages

@@ -213,4 +213,4 @@ def page_trees(spark, d):
     plain = F.col("text")
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(a), F.lit(b))
-    return D.parsed(p.withColumn("text", plain), ["rev_id"]).select("rev_id", "xml", "plain", F.size("errors").alias("n_errors"))
+    return D.parsed(p.withColumn("text", plain), ["rev_id"], want=("xml", "plain", "errors")).select("rev_id", "xml", "plain", F.size("errors").alias("n_errors"))
