@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from foliospark.functions.arrow import spread
 from foliospark.functions.stage import written
 
 RUN = 12
@@ -73,7 +74,8 @@ def index_segments(documents: DataFrame, vocabulary: dict[str, int] | None) -> D
             at += 1
 
     schema = "segment BIGINT, docs ARRAY<BIGINT>, terms ARRAY<INT>, starts ARRAY<INT>, doc_at ARRAY<INT>, pos ARRAY<INT>"
-    return written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, schema), "postings")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(spread(texts).mapInArrow(build, schema), "postings")
 
 
 def term_frequencies(segments: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliospark.functions.arrow import map_rows
+from foliospark.functions.arrow import map_rows, spread
 from foliospark.functions.stage import written
 
 #: Fixed value: the word pattern of the byte-level tokenizers, with Unicode white space.
@@ -109,7 +109,7 @@ def _one_list(values: np.ndarray) -> pa.ListArray:
 def word_blocks(documents: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
     """block, docs, lens, codes, distinct: the documents as blocks of coded words, written to the shared folder."""
     text = F.col("text")
-    cut = documents.select(
+    cut = spread(documents.select("doc_id", "text")).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.expr(f"CASE WHEN text IS NULL THEN array() ELSE regexp_extract_all(text, r\"{WORD}\", 0) END").alias("words"),
         F.when(text.rlike(r"\p{Cn}"), text).alias("rare"),
@@ -200,7 +200,7 @@ def decoded(ids: DataFrame, name: str = "byte_bpe_50k", most: int = BLOCK_WORDS)
     """
     schema = "block BIGINT, docs ARRAY<BIGINT>, lens ARRAY<INT>, codes BINARY, distinct ARRAY<INT>"
     lists = ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
-    blocks = written(lists.mapInArrow(lambda batches: _blocks(((b.column("doc_id"), b.column("ids")) for b in batches), most, pa.int32()), schema), "id-blocks")
+    blocks = written(spread(lists).mapInArrow(lambda batches: _blocks(((b.column("doc_id"), b.column("ids")) for b in batches), most, pa.int32()), schema), "id-blocks")
     refs = blocks.select("block", F.posexplode("distinct").alias("code", "id")).join(F.broadcast(pieces(ids.sparkSession, name)), "id", "left")
     spelled = refs.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("code", "piece"))).alias("p"))
     joined = blocks.select("block", "docs", "lens", "codes").join(spelled, "block", "left")
